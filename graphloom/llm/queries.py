@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.bpe import round_trip
 from graphloom.llm.common import table
+from graphloom.llm.packing import pack_documents
 from graphloom.llm.simhash import simhash_components
+from graphloom.llm.tokenfiles import file_round_trip
 from graphloom.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_simhash, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op4_simhash, op5_bpe, op6_token_files, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
