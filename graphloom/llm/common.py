@@ -71,8 +71,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 8
             at = end
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list:
-    """At most `per_class` labelled training rows of each class, in a fixed pseudo-random order.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], max_chars: int) -> list:
+    """At most `most[y]` labelled training rows of class y, chosen by a hash of their doc_id.
 
     Rows held out (crc32(doc_id) mod 3 = 1) and texts over `max_chars` are not learnt from. This is the bounded
     sample on which models are fitted; scoring covers whole texts of every length.
@@ -81,10 +81,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     ids = ids.groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = None
     for y in (0, 1):
-        one = ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        one = ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         picked = one if picked is None else picked.unionByName(one)
     kept = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    got = kept.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * per_class ids
+    got = kept.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # at most sum(most) ids
     return sorted(got, key=lambda r: (r.doc_id, r.text))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import quality, toxicity
 from graphloom.llm.bpe import round_trip
 from graphloom.llm.common import table
 from graphloom.llm.packing import pack_documents
@@ -21,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -33,12 +38,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_simhash, op5_bpe, op6_token_files, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_bpe, op6_token_files, op8_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
