@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import quality, toxicity
 from graphloom.llm.bpe import round_trip
 from graphloom.llm.common import table
+from graphloom.llm.neighbours import nearest
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.simhash import simhash_components
 from graphloom.llm.tokenfiles import file_round_trip
@@ -38,6 +39,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_bpe, op6_token_files, op8_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_bpe, op6_token_files, op7_neighbours, op8_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
