@@ -37,46 +37,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     size = 1 << (n - 1).bit_length()
-    # A node's value is rank * width + position: its minimum is the leftmost least pair.
-    width, none, get = size, NONE, ranks.get
-    tree = [none] * (2 * size)
+    # A node's value is rank * size + position: its minimum is the leftmost least pair. Dead and rankless leaves have NONE.
+    get = ranks.get
+    tree = [NONE] * (2 * size)
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r * width + i
+            tree[size + i] = r * size + i
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     end, before = list(range(1, n + 1)), list(range(-1, n))  # of the token at a live position: its end, the token before
-
-    def put(at: int, value: int) -> None:
-        at += size
-        tree[at] = value
-        while at > 1:
-            other = tree[at ^ 1]
-            at >>= 1
-            if other < value:
-                value = other
-            if tree[at] == value:
-                return
-            tree[at] = value
-
-    while tree[1] < none:
-        at = tree[1] % width
+    while (least := tree[1]) < NONE:
+        at = least & (size - 1)
         mid = end[at]
-        stop = end[mid]
-        end[at] = stop
-        put(mid, none)
+        stop = end[at] = end[mid]
+        r = None
         if stop < n:
             before[stop] = at
             r = get(piece[at : end[stop]])
-            put(at, none if r is None else r * width + at)
-        else:
-            put(at, none)
+        changes = [(mid, NONE), (at, NONE if r is None else r * size + at)]
         if at:
             left = before[at]
             r = get(piece[left:stop])
-            put(left, none if r is None else r * width + left)
+            changes.append((left, NONE if r is None else r * size + left))
+        for leaf, value in changes:  # point updates
+            leaf += size
+            tree[leaf] = value
+            while leaf > 1:
+                other = tree[leaf ^ 1]
+                leaf >>= 1
+                if other < value:
+                    value = other
+                if tree[leaf] == value:
+                    break
+                tree[leaf] = value
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : end[at]]])
@@ -94,6 +89,8 @@ class Coder:
         self.cache = Cache(self._chunk)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isascii() and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+            return tuple(merge(chunk.encode(), self.ranks))  # a word and the space before it are one match
         return tuple(i for piece in self.pattern.findall(chunk) for i in merge(piece.encode("utf-8", "surrogatepass"), self.ranks))
 
     def encode(self, text: str) -> list[int]:

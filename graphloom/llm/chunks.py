@@ -1,6 +1,6 @@
 """Cutting texts at places where byte-level BPE never merges, and bounded caches of what the cuts encode to.
 
-The split pattern of the public rank files puts a cut before a lone space and around a line feed, except within a run
+The split pattern of the public rank files puts a cut before a lone space, around a line feed and before a lone mark, except within a run
 of white space: a run of three or more, or one of two at the end, takes the pattern itself.
 """
 
@@ -12,6 +12,14 @@ from collections.abc import Callable
 import regex
 
 _RUN = re.compile(r"\s{3}|\s{2}\Z|\x1f")
+_MARKS, _SPACED = re.compile(r"[^\w\t-\r ][^\w\t-\r ]"), re.compile(r"\s[.,]")
+
+
+def lone_marks(text: str) -> bool:
+    """Whether no two marks stand side by side, so that every full stop and comma is a piece of its own."""
+    return "_" not in text and not _MARKS.search(text)
+
+
 #: Unicode's White_Space, which the tokenizers' engines mean by \s (the regex module's \s has \x1c-\x1f besides).
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -25,8 +33,11 @@ def chunks(text: str, pattern: regex.Pattern) -> list[str]:
     """Pieces of `text` whose encodings, one after another, are the encoding of the whole."""
     if _RUN.search(text):
         return pattern.findall(text)
-    out = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
-    return out
+    lone = lone_marks(text) and not _SPACED.search(text)
+    text = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
+    if lone:
+        text = text.replace(".", "\x1f.\x1f").replace(",", "\x1f,\x1f")
+    return text.split("\x1f")
 
 
 class Cache(dict):

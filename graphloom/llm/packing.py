@@ -19,7 +19,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Cache
+from graphloom.llm.chunks import Cache, lone_marks
 from graphloom.llm.common import materialize, small_batches, texts_of
 
-CAPACITY, END = 2048, 0
+CAPACITY, END, MARKS = 2048, 0, (".", ",", ";", ":", "?", "!")
 
 
 class WordEncoder:
@@ -42,23 +42,25 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = Cache(self._encode, 400_000)
-        self.chunks = Cache(self._chunk, 250_000)
-
-    def _encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.chunks = Cache(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
-        """A word and one ASCII mark after it are separate tokens, and case is dropped: fewer keys that way."""
-        if chunk.isalpha():
-            return self.words[chunk.lower()] if chunk.isascii() else self.words[chunk]
-        word = chunk[:-1]
-        if chunk[-1:] in (".", ",", ";", ":", "?", "!") and word.isalpha():
-            return (self.words[word.lower()] if word.isascii() else self.words[word]) + self.words[chunk[-1]]
-        return self._encode(chunk)
+        """A plain word, and one mark after it, go to the library's model directly: nothing else would change or cut them."""
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
+        if word.isalpha() and word.isascii():
+            ids = [t.id for t in self.model.tokenize(word.lower())]
+            if mark:
+                ids += [t.id for t in self.model.tokenize(mark)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.chunks.all(text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if text.isascii() and lone_marks(text):  # then a mark is a token of its own, with or without white space around it
+            text = text.lower().replace(".", " . ").replace(",", " , ")
+        return b"".join(self.chunks.all(text.split(" ")))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

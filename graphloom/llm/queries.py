@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import quality, toxicity
 from graphloom.llm.bpe import round_trip
 from graphloom.llm.common import table
+from graphloom.llm.iblt import fingerprint_edits
+from graphloom.llm.licenses import label_documents
 from graphloom.llm.neighbours import nearest
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.simhash import simhash_components
@@ -27,6 +29,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -47,12 +53,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_bpe, op6_token_files, op7_neighbours, op8_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_licenses, op4_simhash, op5_bpe, op6_token_files, op7_neighbours, op8_toxicity, op9_fingerprints, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = splitter(PATTERN)
-        self.cache = Cache(lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+        self.model = self.tokenizer.model
+        self.cache = Cache(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A plain word, the space before and one mark after it, go to the library's model directly: it cuts them nowhere else."""
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha() and bare.isascii():
+            ids = [t.id for t in self.model.tokenize(bare if bare is word else "\u0120" + bare)]  # U+0120 stands for a space
+            if mark:
+                ids += [t.id for t in self.model.tokenize(mark)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.cache.all(chunks(text, self.pattern)))
