@@ -142,9 +142,9 @@ def _arith(op: str):
 
     def run(_, a: Val, b: Val) -> Val:
         if a.type in V.NUMERIC and b.type in V.NUMERIC:
+            if op == "/" and {a.type, b.type} <= {"int", "integer"}:  # enough digits for all of the quotient's scale
+                return Val("decimal", F.try_divide(a.col.cast("decimal(19,0)"), b.col.cast("decimal(19,0)")).try_cast(V.DECIMAL))
             kind = V.NUMERIC[max(V.NUMERIC.index(a.type), V.NUMERIC.index(b.type))]
-            if op == "/" and kind in ("int", "integer"):
-                kind = "decimal"
             return Val(kind, on(kind, a.col.cast(V.NATIVE[kind]), b.col.cast(V.NATIVE[kind])))
         m, n = V.number(a), V.number(b)
         if not m or not n:

@@ -35,7 +35,17 @@ class Val:
         return (self.type, self.extra)
 
 
-NULL = Val("null", F.lit(None))
+class _Null:
+    """The value of an unbound variable."""
+
+    type, extra, const, kind = "null", None, None, ("null", None)
+
+    @property
+    def col(self) -> Column:
+        return F.lit(None)
+
+
+NULL = _Null()
 
 
 def boolean(c: Column) -> Val:

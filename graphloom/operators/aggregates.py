@@ -55,7 +55,7 @@ def _sum(a: A.Aggregate, arg: Val) -> Val:
 
 def _avg(a: A.Aggregate, arg: Val) -> Val:
     if arg.type in V.NUMERIC:
-        c = arg.col.cast("double") if arg.type in ("float", "double") else arg.col.cast("decimal(28,10)")
+        c = arg.col.cast("double") if arg.type in ("float", "double") else arg.col.cast("decimal(31,12)")
         if a.distinct:
             mean = F.try_divide(F.sum_distinct(c), F.count_distinct(c))
         else:
