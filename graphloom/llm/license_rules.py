@@ -11,7 +11,7 @@ mit|1|mit|spdx licen[cs]e identifier mit
 mit|2|mit|(?:released|licen[cs]ed|distributed|available|published) under (?:the )?(?:terms of the )?mit(?: x11)? licen[cs]e
 mit|3|mit|(?:the )?mit licen[cs]e(?: \(?expat\)?)?
 mit|3|mit|licen[cs]e mit
-mit|1|copyright|permission is hereby granted free of charge to any person obtaining a copy of this software
+mit|1|permission|permission is hereby granted free of charge to any person obtaining a copy of this software
 mit|2|expat|expat licen[cs]e
 mit-0|1|mit|spdx licen[cs]e identifier mit 0
 mit-0|2|mit|mit no attribution(?: licen[cs]e)?
@@ -207,7 +207,8 @@ cdla-permissive-2|2|cdla|cdla permissive(?: (?:v ?)?2(?: 0)?)?
 cdla-sharing-1|2|cdla|cdla sharing(?: (?:v ?)?1(?: 0)?)?
 ogl-uk-3|2|government|open government licen[cs]e(?: v ?3(?: 0)?)?
 etalab-2|2|etalab|etalab(?: open licen[cs]e)?(?: 2 0)?
-openrail-m|2|openrail|(?:bigscience |creativeml )?open ?rail m(?: licen[cs]e)?
+openrail-m|2|openrail|(?:bigscience |creativeml )?openrail m(?: licen[cs]e)?
+openrail-m|2|rail|open rail m(?: licen[cs]e)?
 openrail-m|2|responsible|responsible ai licen[cs]e
 llama-2|2|llama|llama 2 community licen[cs]e(?: agreement)?
 llama-3|2|llama|(?:meta )?llama 3(?: [123])? community licen[cs]e(?: agreement)?
