@@ -177,8 +177,15 @@ add("wind_like_3", "SELECT ?e ?y ?mo ?d ?h ?b (ROUND(AVG(?v) * 1000) / 1000 AS ?
 add("wind_like_4", "SELECT ?u (COUNT(DISTINCT ?e) AS ?k) WHERE { ?x :events_user_id ?u ; :events_event_type ?e } GROUP BY ?u HAVING(COUNT(DISTINCT ?e) > 3)", "SELECT user_id AS u, count(DISTINCT event_type) AS k FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 3")
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, folder: str) -> Engine:
-    return Engine(spark, warehouse(spark, folder), prefixes=PREFIXES)
+    """One engine for each session and folder, so that tables' schemas and file lists are read once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(spark, warehouse(spark, folder), prefixes=PREFIXES)
+    return _ENGINES[key]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
