@@ -143,7 +143,10 @@ class Compiler:
             if named is not None and name.value not in named:
                 return R.build(self.spark.range(0), {n: Val("iri", F.lit(None).cast("string")) for n in A.in_scope(p)})
             return self.pattern(p, Active((name.value,), True))
-        rel = self.pattern(p, Active(named, True, name.name))
+        active = Active(named, True, name.name)
+        rel = self.pattern(p, active)
+        if name.name not in rel.vars:  # nothing inside reads a graph: once for each graph there is
+            rel = R.join(rel, R.distinct(self.source.nodes(active).keep([name.name])))
         return rel
 
     def values(self, names, rows) -> Rel:
@@ -235,6 +238,8 @@ class Compiler:
     # Groups
     def group(self, g: A.Group, active: Active) -> Rel:
         rel = self.pattern(g.pattern, active)
+        if active.var in rel.vars and active.var not in g.keys:  # GRAPH ?g { SELECT ... }: groups of each graph
+            g = A.Group(g.pattern, (*g.keys, active.var), g.aggregates)
         cols = {}
         pre, bound = {}, set()
         for n in g.keys:
