@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.chunks import Cache, chunks, splitter
+from graphloom.llm.chunks import Memo, encode_batch, marked, plain_word, splitter
 from graphloom.llm.common import small_batches, texts_of
 
 NONE = 1 << 60
@@ -86,15 +88,23 @@ class Coder:
         self.ranks = load_ranks(path)
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.pattern: regex.Pattern = splitter(pattern)
-        self.cache = Cache(self._chunk)
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        if chunk.isascii() and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
-            return tuple(merge(chunk.encode(), self.ranks))  # a word and the space before it are one match
-        return tuple(i for piece in self.pattern.findall(chunk) for i in merge(piece.encode("utf-8", "surrogatepass"), self.ranks))
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids in self.cache.all(chunks(text, self.pattern)) for i in ids]
+        self.memo = Memo(self._encode)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out, ranks = [], self.ranks
+        for x in pieces:
+            if plain_word(x[1:] if x[:1] == " " else x):
+                ids = merge(x.encode(), ranks)  # a word and the space before it are one match
+            else:
+                ids = [i for piece in self.pattern.findall(x) for i in merge(piece.encode("utf-8", "surrogatepass"), ranks)]
+            out.append(array("I", ids).tobytes())
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        ids, lengths = encode_batch(texts, lambda text, sep: marked(text, self.pattern, sep), self.memo)
+        ids = ids.tolist()
+        return [ids[b - n : b] for b, n in zip(np.cumsum(lengths).tolist(), lengths.tolist())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -108,7 +118,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
         for batch in small_batches(batches, len(kept), 4 << 20):
-            ids = pa.array([coder.encode(x) for x in texts_of(batch, len(kept))], pa.list_(pa.int32()))
+            ids = pa.array(coder.encode(texts_of(batch, len(kept))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, "ids"])
 
     return docs.select(*kept, "text").mapInArrow(run, schema)
@@ -133,21 +143,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
-
-        def told(chunk: str) -> tuple[int, str, bytes]:
-            ids = coder._chunk(chunk)
-            return len(ids), " ".join(map(str, ids)), coder.decode(ids)
-
-        cache = Cache(told)
-        for batch in small_batches(batches, 1):
-            out: list[tuple] = []
-            for text in texts_of(batch, 1):
-                parts = [x for x in cache.all(chunks(text, coder.pattern)) if x[0]]
-                said = " ".join([x[1] for x in parts]).encode()
-                back = b"".join([x[2] for x in parts])
-                out.append((sum([x[0] for x in parts]), hashlib.sha256(said).hexdigest(), hashlib.sha256(back).hexdigest()))
-            cols = list(zip(*out)) if out else [[], [], []]
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
+        digits = {i: str(i) for i in coder.bytes}
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in small_batches(batches, 1, 4 << 20):
+            rows = coder.encode(texts_of(batch, 1))
+            said = [digest(" ".join(map(digits.__getitem__, ids)).encode()) for ids in rows]
+            back = [digest(coder.decode(ids)) for ids in rows]
+            arrays = [pa.array([len(x) for x in rows], pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()

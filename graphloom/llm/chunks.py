@@ -9,15 +9,37 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-_RUN = re.compile(r"\s{3}|\s{2}\Z|\x1f")
+SEPARATORS = "\x1f\x1e\x1d\x1c\ue000\ue001\ue002\ufdd0"
+_RUN = re.compile(r"\s{3}|\s{2}\Z")
 _MARKS, _SPACED = re.compile(r"[^\w\t-\r ][^\w\t-\r ]"), re.compile(r"\s[.,]")
+#: Kinds of UTF-8 bytes: w of letters and digits (ASCII, and Latin letters up to U+024F), s space and line feed, m other printable ASCII, u to be looked at closer.
+_KINDS = bytes(ord("w") if chr(b).isalnum() and b < 128 or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC9 else ord("s") if b in (10, 32) else ord("m") if 33 <= b <= 126 else ord("u") for b in range(256))
+#: How byte-level models write a byte: printable ones as the character of that number, others from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def lone_marks(text: str) -> bool:
-    """Whether no two marks stand side by side, so that every full stop and comma is a piece of its own."""
-    return "_" not in text and not _MARKS.search(text)
+def byte_level(text: str) -> str:
+    """`text` as byte-level models see it."""
+    return text.encode().decode("latin-1").translate(_BYTE)
+
+
+def plain_word(text: str) -> bool:
+    """A word of ASCII or Latin letters, which no tokenizer normalises beyond case or cuts (but for I with a dot above)."""
+    return text.isalpha() and (text.isascii() or max(text) <= "ɏ" and "İ" not in text)
+
+
+def looks(text: str) -> tuple[bool, bool]:
+    """Whether white space runs as long that the pattern must decide, and whether no two marks stand side by side."""
+    kinds = text.encode("utf-8", "surrogatepass").translate(_KINDS)
+    if b"u" in kinds or "×" in text or "÷" in text:
+        return bool(_RUN.search(text)), "_" not in text and not _MARKS.search(text)
+    return b"sss" in kinds or kinds.endswith(b"ss"), b"mm" not in kinds
 
 
 #: Unicode's White_Space, which the tokenizers' engines mean by \s (the regex module's \s has \x1c-\x1f besides).
@@ -29,15 +51,58 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
 
 
-def chunks(text: str, pattern: regex.Pattern) -> list[str]:
-    """Pieces of `text` whose encodings, one after another, are the encoding of the whole."""
-    if _RUN.search(text):
-        return pattern.findall(text)
-    lone = lone_marks(text) and not _SPACED.search(text)
-    text = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
-    if lone:
-        text = text.replace(".", "\x1f.\x1f").replace(",", "\x1f,\x1f")
-    return text.split("\x1f")
+def marked(text: str, pattern: regex.Pattern, sep: str) -> str:
+    """`text` with `sep` (which it doesn't hold) between pieces whose encodings, one after another, are the encoding of the whole."""
+    long, lone = looks(text)
+    if long:
+        return sep.join(pattern.findall(text))
+    lone = lone and not (" ." in text or " ," in text or "\n." in text or "\n," in text or not text.isascii() and _SPACED.search(text) or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") and _SPACED.search(text))
+    text = text.replace(" ", f"{sep} ").replace("\n", f"{sep}\n{sep}")
+    return text.replace(".", f"{sep}.{sep}").replace(",", f"{sep},{sep}") if lone else text
+
+
+class Memo:
+    """What `make` gives for pieces. It keeps up to `most` of them; when they are more, those of the last batch only."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 300_000):
+        self.make, self.most, self.held = make, most, {}
+
+    def get(self, pieces: list[str]) -> list[bytes]:
+        known = list(map(self.held.get, pieces))
+        new = [k for k, v in enumerate(known) if v is None]
+        for k, v in zip(new, self.make([pieces[k] for k in new])):
+            known[k] = v
+        if len(self.held) + len(new) > self.most:
+            self.held = dict(zip(pieces, known))
+        else:
+            self.held.update((pieces[k], known[k]) for k in new)
+        return known
+
+
+def encode_batch(texts: list[str], mark: Callable[[str, str], str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (u32) of all texts one after another, and how many each has.
+
+    `mark` puts a separator between pieces, `memo` gives pieces' ids as bytes. Pieces are told apart by Arrow; each
+    distinct one of the batch is encoded once, and its ids are gathered wherever it stands.
+    """
+    sep = next((c for c in SEPARATORS if not any(c in t for t in texts)), None)
+    if sep is None:  # texts that hold all of them go piece by piece of one character at most between separators
+        parts = [b"".join(memo.make(mark(t, SEPARATORS[0]).split(SEPARATORS[0]) if SEPARATORS[0] not in t else [t])) for t in texts]
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], dtype=np.int64)
+    lists = pc.split_pattern(pa.array([mark(t, sep) for t in texts], pa.large_string()), sep)
+    pieces = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    parts = memo.get(coded.dictionary.to_pylist())
+    length = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+    start = np.cumsum(length) - length
+    ids = np.frombuffer(b"".join(parts), "<u4")
+    each = length[codes]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    at = np.repeat(start[codes] - upto[:-1], each)
+    at += np.arange(len(at))
+    ends = np.cumsum(pieces)
+    return ids[at], upto[ends] - upto[ends - pieces]
 
 
 class Cache(dict):

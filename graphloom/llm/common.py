@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,7 +35,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path  # for discard()
     return back
@@ -92,6 +93,23 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
+def ordered_buckets(df: DataFrame, column: str, knots: int = 256) -> tuple[Column, int]:
+    """A bucket number for each row, ascending with `column` (an integer), and how many buckets there are: about sqrt(n).
+
+    The knots are approximate quantiles; between two of them buckets have equal widths. Nulls are in bucket 0, before all.
+    """
+    got = df.agg(F.count("*").alias("n"), F.percentile_approx(column, [k / knots for k in range(knots + 1)], 10_000).alias("q")).first()
+    at_knots = sorted({int(x) for x in (got.q or [0])})
+    each = max(1, math.ceil(math.sqrt(got.n) / len(at_knots)))
+    bounds = F.array(*map(F.lit, at_knots))
+    x = F.col(column)
+    k = F.greatest(F.size(F.filter(bounds, lambda b: b <= x)), F.lit(1))
+    low = F.element_at(bounds, k)
+    high = F.coalesce(F.get(bounds, k), low + 1)
+    inner = F.least(F.greatest(F.floor((x - low) / (high - low) * each), F.lit(0)), F.lit(each - 1))
+    return F.when(x.isNull(), F.lit(0)).otherwise(k * each + inner).cast("long"), (len(at_knots) + 1) * each
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node in `links`; root is the smallest node reachable.
 

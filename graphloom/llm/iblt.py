@@ -18,12 +18,19 @@ another in the order of a hash of their texts. A single row is its own neighbour
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, PART, ROUNDS, LEVELS, KNOTS = 24, 8, 24, 5, 256
+from graphloom.llm.common import ordered_buckets
+
+CELLS, PART, ROUNDS, LEVELS = 24, 8, 24, 5
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def digests(text: Column) -> Column:
@@ -81,18 +88,20 @@ def _peel(left: Column, right: Column) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         # A round that finds nothing leaves all as it is; `gone` is kept in the state so that it is found once.
-        left_ = F.when(F.size(s["gone"]) > 0, without(s["cells"], s["gone"])).otherwise(s["cells"])
-        return F.struct(left_.alias("cells"), F.when(F.size(s["gone"]) > 0, pure(left_)).otherwise(s["gone"]).alias("gone"), (s["found"] + F.size(s["gone"])).alias("found"))
+        after = lambda x: F.struct(x.alias("cells"), pure(x).alias("gone"), (s["found"] + F.size(s["gone"])).alias("found"))
+        return F.when(F.size(s["gone"]) > 0, _let(without(s["cells"], s["gone"]), after)).otherwise(s)
 
-    start = F.struct(cells.alias("cells"), pure(cells).alias("gone"), F.lit(0).alias("found"))
     empty = lambda s: ~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s), s["found"]))
+    start = lambda x: F.struct(x.alias("cells"), pure(x).alias("gone"), F.lit(0).alias("found"))
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    return _let(cells, lambda x: F.aggregate(rounds, start(x), step, lambda s: F.when(empty(s), s["found"])))
 
 
 def _larger(left: Column, right: Column, level: int) -> Column:
     """The same with 4**level buckets, each with a sketch of its own."""
     mine = lambda x, b: F.filter(x, lambda e: F.pmod(F.shiftrightunsigned(e["k"], 40), F.lit(4**level)) == b)
-    each = F.transform(F.sequence(F.lit(0), F.lit(4**level - 1)), lambda b: _peel(sketch(mine(left, b)), sketch(mine(right, b))))
+    part = lambda b: _let(mine(left, b), lambda x: _let(mine(right, b), lambda y: _peel(sketch(x), sketch(y))))
+    each = F.transform(F.sequence(F.lit(0), F.lit(4**level - 1)), part)
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
@@ -117,15 +126,8 @@ def as_text(cells: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and `next`, the text of the next document in descending doc_id order; after the last comes the first."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 10_000).alias("q")).first()
-    knots = sorted({int(x) for x in (ids.q or [0])})
-    each = max(1, math.ceil(math.sqrt(ids.n) / max(1, len(knots))))
-    bounds = F.array(*map(F.lit, knots))
-    at = F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(1))
-    low, high = F.element_at(bounds, at), F.coalesce(F.get(bounds, at), F.element_at(bounds, at) + 1)
-    inner = F.least(F.greatest(F.floor((F.col("doc_id") - low) / (high - low) * each), F.lit(0)), F.lit(each - 1))
-    # Rows without an id have a bucket below all others.
-    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.coalesce(at * each + inner, F.lit(-1)).cast("long"))
+    bucket, _ = ordered_buckets(rows, "doc_id")
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
     tops = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("o"))).alias("top"))  # a row for each bucket
     down = Window.orderBy(F.desc("bucket"))
     ring = tops.withColumn("at", F.row_number().over(down)).withColumn("guest_of", F.lag("bucket").over(down)).withColumn("last", F.min("bucket").over(Window.partitionBy()))

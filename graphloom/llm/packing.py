@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Cache, lone_marks
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word
 from graphloom.llm.common import materialize, small_batches, texts_of
 
-CAPACITY, END, MARKS = 2048, 0, (".", ",", ";", ":", "?", "!")
+CAPACITY, END = 2048, 0
 
 
 class WordEncoder:
@@ -43,24 +43,31 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.chunks = Cache(self._chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A plain word, and one mark after it, go to the library's model directly: nothing else would change or cut them."""
-        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
-        if word.isalpha() and word.isascii():
-            ids = [t.id for t in self.model.tokenize(word.lower())]
-            if mark:
-                ids += [t.id for t in self.model.tokenize(mark)]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        self.memo = Memo(self._encode)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Plain words go to the library's model directly: nothing else would change or cut them."""
+        out, model, whole = [], self.model.tokenize, self.tokenizer.encode
+        for x in pieces:
+            if x.isascii() and x.isalpha():
+                ids = [t.id for t in model(x.lower())]
+            elif plain_word(x):
+                ids = [t.id for t in model(byte_level(x.lower()))]
+            else:
+                ids = whole(x, add_special_tokens=False).ids
+            out.append(array("I", ids).tobytes())
+        return out
 
-    def encode(self, text: str) -> bytes:
+    @staticmethod
+    def _mark(text: str, sep: str) -> str:
         text = text.replace("\n", " ")
-        if text.isascii() and lone_marks(text):  # then a mark is a token of its own, with or without white space around it
+        if text.isascii() and looks(text)[1]:  # then a mark is a token of its own, with or without white space around it
             text = text.lower().replace(".", " . ").replace(",", " , ")
-        return b"".join(self.chunks.all(text.split(" ")))
+        return text.replace(" ", sep)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        return encode_batch(texts, self._mark, self.memo)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -70,8 +77,9 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
         encoder, last, step = WordEncoder(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in small_batches(batches, 1):
             rows: list[tuple] = []
-            for k, text in enumerate(texts_of(batch, 1)):
-                ids = encoder.encode(text) + last
+            all_, lengths = encoder.encode(texts_of(batch, 1))
+            for k, (b, n) in enumerate(zip(np.cumsum(lengths), lengths)):
+                ids = all_[b - n : b].tobytes() + last
                 rows += [(k, at // step, at // 4, ids[at : at + step]) for at in range(0, len(ids), step)]
             whose, piece, start, ids = zip(*rows)
             arrays = [batch.column(0).take(pa.array(whose)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]

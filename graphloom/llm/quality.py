@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = model.sides()
-        for batch in small_batches(batches, len(kept)):
+        for batch in small_batches(batches, len(kept), 1 << 20):
             s = model.score(features(rows_of(batch, len(kept)), sides))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s)], names=[*kept, name])
 
@@ -141,7 +141,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = model.sides()
-        for batch in small_batches(batches, at):
+        for batch in small_batches(batches, at, 1 << 20):
             yield batch.filter(pa.array(model.score(features(rows_of(batch, at), sides)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, len(kept)):
+        for batch in small_batches(batches, len(kept), 1 << 20):
             fps = pa.array([fingerprint(x) for x in rows_of(batch, len(kept))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fps], names=[*kept, "fp"])
 
@@ -165,5 +165,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     known = classes(fps, "rank")
     kept = fps.join(known, "fp").filter(F.col("rank") == F.col("first")).select(F.col("doc_id").alias("keep_id"), F.col("spare").alias("keep_spare")).distinct()
     marked = docs.withColumn("__spare", spare)
-    met = marked.join(kept, marked["doc_id"].eqNullSafe(kept.keep_id) & marked["__spare"].eqNullSafe(kept.keep_spare), "left_semi")
+    met = marked.join(kept.hint("merge"), marked["doc_id"].eqNullSafe(kept.keep_id) & marked["__spare"].eqNullSafe(kept.keep_spare), "left_semi")
     return met.dropDuplicates(["doc_id", "__spare"]).drop("__spare")

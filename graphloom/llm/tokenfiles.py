@@ -6,7 +6,8 @@ Decoding looks the control bytes up in tables of lengths and gathers the data wi
 
 A file: header MAGIC, documents (u32), ids (u64), control bytes (u64), data bytes (u64); per document a flag byte (1:
 the doc_id is null), doc_id (i64) and length (u64); control bytes; data bytes; CRC-32 of all that (u32); all little-endian.
-The file `ranks.bin` has the ids in the order of their ranks (u32). Files are named in ascending doc_id order.
+The file `ranks.bin` has the ids in the order of their ranks (u32). Files are named in ascending doc_id order:
+a bucket of neighbouring doc_ids makes one file, or several where it has more than FILE_IDS ids.
 
 Nulls: a null text is empty (its end id only); null doc_ids come first. Documents that repeat a doc_id lie side by
 side in the order of their ids' checksum. An empty table writes no data files and reads back no rows.
@@ -23,13 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Cache, chunks, splitter
-from graphloom.llm.common import discard, materialize, shared_path, small_batches, texts_of
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, marked, plain_word, splitter
+from graphloom.llm.common import discard, materialize, ordered_buckets, shared_path, small_batches, texts_of
 
 MAGIC, HEAD, FILE_IDS = b"GLTOKEN1", struct.Struct("<8sIQQQ"), 4_000_000
 #: The split pattern of byte-level tokenizers with use_regex.
@@ -66,44 +66,54 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pattern = splitter(PATTERN)
         self.model = self.tokenizer.model
-        self.cache = Cache(self._chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A plain word, the space before and one mark after it, go to the library's model directly: it cuts them nowhere else."""
-        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-        bare = word[1:] if word[:1] == " " else word
-        if bare.isalpha() and bare.isascii():
-            ids = [t.id for t in self.model.tokenize(bare if bare is word else "\u0120" + bare)]  # U+0120 stands for a space
-            if mark:
-                ids += [t.id for t in self.model.tokenize(mark)]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.cache.all(chunks(text, self.pattern)))
+        self.memo = Memo(self._encode)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Plain words with the space before them go to the library's model directly: it cuts them nowhere else."""
+        out, model, whole = [], self.model.tokenize, self.tokenizer.encode
+        for x in pieces:
+            word = x[1:] if x[:1] == " " else x
+            if word.isascii() and word.isalpha():
+                ids = [t.id for t in model(x if word is x else "\u0120" + word)]  # U+0120 stands for a space
+            elif plain_word(word):
+                ids = [t.id for t in model(byte_level(x))]
+            else:
+                ids = whole(x, add_special_tokens=False).ids
+            out.append(array("I", ids).tobytes())
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        return encode_batch(texts, lambda text, sep: marked(text, self.pattern, sep), self.memo)
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, ids (little-endian u32, the end id last)."""
+    """doc_id, ids (the end id last; in two little-endian bytes each where the vocabulary allows, else four)."""
+    kind = id_type(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(tokenizer), struct.pack("<I", end)
+        encoder, last = Encoder(tokenizer), np.array([end], kind).tobytes()
         for batch in small_batches(batches, 1):
-            ids = pa.array([encoder.encode(x) + last for x in texts_of(batch, 1)], pa.binary())
+            all_, lengths = encoder.encode(texts_of(batch, 1))
+            all_ = all_.astype(kind)
+            ids = pa.array([all_[b - n : b].tobytes() + last for b, n in zip(np.cumsum(lengths), lengths)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_type(tokenizer: str, end: int) -> str:
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
+
+
+def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents: each task counts what it reads, then the counts are summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"))
+            for some in batches_of(batch.column(0).to_pylist()):
+                c = np.bincount(np.frombuffer(some, kind))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
@@ -113,6 +123,18 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def batches_of(rows: list[bytes], most: int = 1 << 22) -> Iterator[bytes]:
+    """Rows joined to about `most` bytes."""
+    held, size = [], 0
+    for x in rows:
+        held.append(x)
+        size += len(x)
+        if size >= most:
+            yield b"".join(held)
+            held, size = [], 0
+    yield b"".join(held)
+
+
 def _put(uri: str, content: bytes) -> None:
     fs, path = pafs.FileSystem.from_uri(uri)
     own = f"{path}.{uuid.uuid4().hex}.part"
@@ -143,8 +165,10 @@ def parse_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 def write_files(docs: DataFrame, root: str, tokenizer: str, end: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode `docs` and write the files below `root`; returns the manifest (file, docs, ids, start)."""
     spark = docs.sparkSession
-    encoded = materialize(encode(docs, tokenizer, end), "ids")
-    counts = id_counts(encoded).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
+    kind = id_type(tokenizer, end)
+    bucket, _ = ordered_buckets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id")
+    encoded = materialize(encode(docs, tokenizer, end).withColumn("bucket", bucket), "ids")
+    counts = id_counts(encoded, kind).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
     by_rank = np.array([r.id for r in counts], dtype="<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -153,37 +177,30 @@ def write_files(docs: DataFrame, root: str, tokenizer: str, end: int, file_ids:
     _put(f"{root}/ranks.bin", by_rank.tobytes())
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            rows = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            coded = [pack(table[x]) for x in rows]
-            arrays = [batch.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x) for x in rows], pa.int64())]
-            arrays += [pa.array([x[k] for x in coded], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "crc", "control", "data"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
+        table, held, size, of, at = shared.value, [], 0, None, 0
 
         def flush() -> pa.RecordBatch:
-            ranks = np.concatenate([unpack(c, d, n) for _, n, c, d in held])
-            name = f"part-{part:06d}-{at:06d}.tok"
-            _put(f"{root}/{name}", file_bytes([x[0] for x in held], [x[1] for x in held], *pack(ranks)))
+            ranks = table[np.frombuffer(b"".join([x[1] for x in held]), kind)]
+            name = f"part-{of:012d}-{at:06d}.tok"
+            _put(f"{root}/{name}", file_bytes([x[0] for x in held], [x[2] for x in held], *pack(ranks)))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], names=["file", "docs", "ids"])
 
+        width = np.dtype(kind).itemsize
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
-                if held and size + row[1] > file_ids:
+            for b, i, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n = len(ids) // width
+                if held and (b != of or size + n > file_ids):
                     yield flush()
-                    held, size, at = [], 0, at + 1
-                held.append(row)
-                size += row[1]
+                    held, size, at = [], 0, at + 1 if b == of else 0
+                of = b
+                held.append((i, ids, n))
+                size += n
         if held:
             yield flush()
 
-    coded = encoded.mapInArrow(code, "doc_id bigint, n bigint, crc bigint, control binary, data binary")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "crc", "n")
-    files = ordered.mapInArrow(write, "file string, docs bigint, ids bigint").collect()  # a row for each file of `file_ids` ids
+    ordered = encoded.select("bucket", "doc_id", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.crc32("ids"), F.octet_length("ids"))
+    files = ordered.mapInArrow(write, "file string, docs bigint, ids bigint").collect()  # a row for each file: about sqrt(documents)
     discard(encoded)
     start, rows = 0, []
     for r in sorted(files, key=lambda r: r.file):

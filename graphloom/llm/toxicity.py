@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.chunks import Cache
 from graphloom.llm.common import held_out, small_batches, texts_of, training_rows
 
-MOST, MAX_CHARS, BITS, STEPS, BLOCK, SPAN = (4000, 2000), 10_000, 18, 25, 64, 0.5
+MOST, MAX_CHARS, BITS, STEPS, BLOCK, SPAN, BATCH = (4000, 2000), 10_000, 18, 25, 64, 0.5, 2 << 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -233,8 +233,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        cache = Cache(own.evidence)
-        for batch in small_batches(batches, len(kept), 4 << 20):
+        cache = Cache(own.evidence, 120_000)
+        for batch in small_batches(batches, len(kept), BATCH):
             texts = texts_of(batch, len(kept))
             scores, tagged = _scored(own, texts, cache)
             spans = [[{"begin": a, "end": b} for a, b in spans_of(t, p)] if len(p) and p.max() >= SPAN else [] for t, p in zip(texts, tagged)]
@@ -255,8 +255,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(shared.value.evidence)
-        for batch in small_batches(batches, at, 4 << 20):
+        cache = Cache(shared.value.evidence, 120_000)
+        for batch in small_batches(batches, at, BATCH):
             yield batch.filter(pa.array(_scored(shared.value, texts_of(batch, at), cache)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
