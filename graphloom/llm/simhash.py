@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import connected_components, materialize, rows_of, small_batches
+from graphloom.llm.likeness import meetings, sets, signatures, similar_links
 
 SHINGLE, SEED, BLOCKS, MAX_BITS, CELL = 3, 42, 6, 3, 2048
 
@@ -138,10 +139,9 @@ def near_links(distinct: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS,
     return ordered.mapInArrow(lambda it: _links(it, bits), "a bigint, b bigint").distinct()
 
 
-def classes(fps: DataFrame, key: str) -> DataFrame:
-    """(fp, first): of each fingerprint, the smallest `key` (nulls aside) of its component."""
-    reps = materialize(fps.groupBy("fp").agg(F.min(key).alias("first")), "reps")
-    roots = connected_components(near_links(reps.select("fp")))
+def classes(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, first): of each of the distinct `reps` (fp, first), the smallest `first` (nulls aside) of its component."""
+    roots = connected_components(links)
     rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     return rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("first"))
@@ -150,20 +150,29 @@ def classes(fps: DataFrame, key: str) -> DataFrame:
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of `docs`."""
     fps = materialize(fingerprints(docs.select("doc_id", "text")), "fps")
-    known = classes(fps, "doc_id")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
+    known = classes(reps, near_links(reps.select("fp")))
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-copies: of each component the row with the smallest doc_id stays.
+    """The rows of `docs` without near-copies: of each component of alike texts (likeness.py) the row with the smallest doc_id stays.
 
     Null ids come last and are told apart by their text; of rows that repeat a doc_id, one stays.
     """
     spare = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")
-    fps = materialize(fingerprints(docs.select("doc_id", spare.alias("spare"), "text")).withColumn("rank", rank), "fps")
-    known = classes(fps, "rank")
-    kept = fps.join(known, "fp").filter(F.col("rank") == F.col("first")).select(F.col("doc_id").alias("keep_id"), F.col("spare").alias("keep_spare")).distinct()
+    signed = materialize(signatures(docs.select("doc_id", spare.alias("spare"), "text")).withColumn("rank", rank), "signed")
+    reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
     marked = docs.withColumn("__spare", spare)
-    met = marked.join(kept.hint("merge"), marked["doc_id"].eqNullSafe(kept.keep_id) & marked["__spare"].eqNullSafe(kept.keep_spare), "left_semi")
-    return met.dropDuplicates(["doc_id", "__spare"]).drop("__spare")
+
+    def rows_in(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("first.doc_id").alias("keep_id"), F.col("first.spare").alias("keep_spare")).distinct()
+        return marked.join(keys.hint("merge"), marked["doc_id"].eqNullSafe(keys.keep_id) & marked["__spare"].eqNullSafe(keys.keep_spare), "left_semi")
+
+    met = materialize(meetings(reps), "met")
+    crowded = reps.join(met.select("fp").distinct(), "fp", "left_semi")
+    links = similar_links(met, materialize(sets(rows_in(crowded)), "sets"))
+    known = classes(reps.select("fp", "first"), links)
+    kept = signed.join(known, "fp").filter(F.col("rank") == F.col("first"))
+    return rows_in(kept).dropDuplicates(["doc_id", "__spare"]).drop("__spare")
