@@ -158,9 +158,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near-copies: of each component of alike texts (likeness.py) the row with the smallest doc_id stays.
 
-    Null ids come last and are told apart by their text; of rows that repeat a doc_id, one stays.
+    Null ids come last. Rows that repeat a doc_id are told apart by their text, so each component keeps one row of its own.
     """
-    spare = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    spare = F.xxhash64("text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")
     signed = materialize(signatures(docs.select("doc_id", spare.alias("spare"), "text")).withColumn("rank", rank), "signed")
     reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
