@@ -69,7 +69,7 @@ bsd-3|1|bsd|spdx licen[cs]e identifier bsd 3 clause(?: clear)?
 bsd-3|2|bsd|bsd 3 clause(?: new)?(?: licen[cs]e)?
 bsd-3|2|bsd|(?:3|three) clause bsd(?: licen[cs]e)?
 bsd-3|2|bsd|(?:new|modified|revised) bsd licen[cs]e
-bsd-3|1|endorse|neither the name of [0-9a-z ]{1,80} nor the names of (?:its|their) contributors may be used to endorse
+bsd-3|1|endorse|neither the name of [^\n]{1,1000}? nor the names of (?:its|their) contributors may be used to endorse
 bsd-4|1|bsd|spdx licen[cs]e identifier bsd 4 clause
 bsd-4|2|bsd|(?:4|four) clause bsd(?: licen[cs]e)?
 bsd-4|2|bsd|original bsd licen[cs]e
