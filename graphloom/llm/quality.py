@@ -2,10 +2,12 @@
 
 A text is compressed with either dictionary; the difference of the two sizes, divided by their sum, says which side it resembles. A
 logistic curve, fitted on labelled rows that the dictionaries have not seen, turns that into a score. Next to the
-difference it takes how far the text compresses by itself against its best dictionary, since repeated junk compresses
-well with either.
+difference (and its excess over 0.05) it takes the text's own compression ratio, how far it compresses with its best
+dictionary against by itself, since repeated junk compresses well with either, and the logarithm of its length.
 
-Fitting uses a bounded sample: PER_CLASS rows of each class of at most MAX_CHARS characters, none held out. Scoring
+Fitting uses a bounded sample: PER_CLASS rows of each class of at most MAX_CHARS characters, none held out. By a hash
+of their texts, half of them make the dictionaries, half fit the curve. A dictionary has DICTIONARY bytes; every text
+of its half gives an equal share from its middle, of which longer texts take what shorter ones leave. Scoring
 compresses whole texts of any length in pieces of PIECE bytes, of which the sizes add up.
 
 Nulls: null and empty texts have difference zero and get the curve's value there. Without rows of both classes
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import held_out, rows_of, small_batches, training_rows
 
-PER_CLASS, MAX_CHARS, DICTIONARY, LEVEL, PIECE = 3000, 10_000, 110_000, 3, 1 << 17
+PER_CLASS, MAX_CHARS, DICTIONARY, LEVEL, PIECE, SEED = 3000, 10_000, 110_000, 3, 1 << 17, 42
 DIMS = 6
 
 
@@ -72,17 +75,13 @@ def features(texts: list[bytes], sides: list[zstandard.ZstdCompressor]) -> np.nd
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Pieces of many texts, the raw content of a dictionary."""
-    if not texts:
-        return b""
-    each = max(200, size // len(texts))
-    parts, n = [], 0
-    for t in texts:
-        at = (len(t) - each) // 2 if len(t) > each else 0
-        parts.append(t[at : at + each])
-        n += len(parts[-1])
-        if n >= size:
-            break
+    """The middle of every text, `size` bytes in all, as the raw content of a dictionary; what short texts leave goes to longer ones."""
+    parts, left = [b""] * len(texts), size
+    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        t, each = texts[k], max(0, left // (len(texts) - done) - 1)
+        at = max(0, len(t) - each) // 2
+        parts[k] = t[at : at + each]
+        left -= len(parts[k]) + 1
     return b"\n".join(parts)
 
 
@@ -101,6 +100,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     rows = training_rows(docs, labels, "quality", (per_class, per_class), max_chars)
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(r.text.encode(), SEED))  # the halves below don't follow doc_id
     texts, y = [r.text.encode() for r in rows], np.array([r.y for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", np.zeros(DIMS))
