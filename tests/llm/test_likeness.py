@@ -81,7 +81,7 @@ def test_crowded_keys_lose_no_link(spark, small, weight):
 
 def test_rows_that_repeat_an_id_stand_for_their_own_texts(spark):
     rng = random.Random(5)
-    clean, (base, copy) = planted(rng, 1, 0)[0], planted(rng, 1, 1, edits=(2, 2))
-    rows = [(5, clean), (5, copy), (3, base), (5, clean), (None, copy)]
+    clean, other, (base, copy) = *planted(rng, 2, 0), planted(rng, 1, 1, edits=(2, 2))
+    rows = [(5, clean), (5, copy), (3, base), (5, clean), (5, other), (None, copy)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, base), (5, clean)])
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, base), (5, clean), (5, other)])
