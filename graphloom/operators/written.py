@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one in local mode, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # local runs and tests
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
