@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.chunks import Memo, encode_batch, marked, plain_word, splitter
-from graphloom.llm.common import small_batches, texts_of
+from graphloom.llm.common import in_arrow, small_batches, texts_of
 
 NONE = 1 << 60
 
@@ -121,7 +121,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.array(coder.encode(texts_of(batch, len(kept))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, "ids"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, "text"), run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,7 +135,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = pa.array([coder.decode(x or []) for x in batch.column(len(kept)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], names=[*kept, "bytes"])
 
-    return encoded.select(*kept, "ids").mapInArrow(run, schema)
+    return in_arrow(encoded.select(*kept, "ids"), run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -153,4 +153,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, f"doc_id {ids}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id"), F.col("text")), run, f"doc_id {ids}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from tokenizers import Tokenizer
 
 SEPARATORS = "\x1f\x1e\x1d\x1c\ue000\ue001\ue002\ufdd0"
 _RUN = re.compile(r"\s{3}|\s{2}\Z")
@@ -42,6 +43,11 @@ def looks(text: str) -> tuple[bool, bool]:
     return b"sss" in kinds or kinds.endswith(b"ss"), b"mm" not in kinds
 
 
+def special_strings(tokenizer: Tokenizer) -> list[str]:
+    """Strings of added tokens: the library looks for them before it cuts a text, so a text that holds one is encoded whole."""
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
 #: Unicode's White_Space, which the tokenizers' engines mean by \s (the regex module's \s has \x1c-\x1f besides).
 SPACE = r"\t-\r \x85\xa0  -     　"
 

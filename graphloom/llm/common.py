@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.written import drop, shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
@@ -43,12 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    delete_path(df.sparkSession, df._graphloom_path)
+    drop(df.sparkSession, df._graphloom_path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow, in one place for all operators."""
+    return df.mapInArrow(run, schema)
 
 
 def rows_of(batch: pa.RecordBatch, column: int) -> list[bytes]:

@@ -4,10 +4,13 @@ All that decides the packing is how many pieces there are of each length from 1
 on that table of counts, whose size has nothing to do with the number of documents, and works on whole groups of equal
 sequences at once:
 
-1. Reduction. For the longest length left, a set that holds it dominates all others if (a) nothing fits beside it; (b) a
-   piece fills the rest exactly; (c) no two pieces fit beside it together: the longest that fits goes with it; (d) the
-   longest that fits is at least as long as any two that fit together. Such sets are fixed for good, as many
-   at a time as the counts allow, and their pieces leave the instance. It ends when the longest length has no such set.
+1. Reduction. A set that holds a piece j dominates all other sets with j if each of theirs can be exchanged, piece for piece or
+   several for one, into it: (a) j alone where nothing fits beside it; (b) j and a piece that fills the rest exactly; (c) j and the
+   longest that fits, where no two fit beside it together; where two may fit but no three, (d) j and the longest that
+   fits, if it is at least as long as any two that fit, or (e) j and the fullest pair, if it holds the longest that fits and
+   no pair has a longer shorter piece. Such sets are fixed for good, as many at a time as the counts allow, and their pieces
+   leave the instance. All lengths are gone through, longest first, again and again until no length has such a set.
+   The least number of sequences stays what it was.
 2. Best fit, longest first, packs what remains: each piece goes where the least room is left that holds it.
 
 The plan lists, for each length, ranges of piece numbers with their sequences and offset. Pieces get their numbers
@@ -30,18 +33,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word
-from graphloom.llm.common import materialize, small_batches, texts_of
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word, special_strings
+from graphloom.llm.common import in_arrow, materialize, small_batches, texts_of
 
 CAPACITY, END = 2048, 0
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file that drops white space and lower-cases; cut at spaces, which no token crosses."""
+    """Ids of whole texts by a tokenizers file that drops white space and lower-cases; cut at spaces, which no token crosses.
 
-    def __init__(self, path: str):
+    A special token's string in a text gives its id, as the library does it, or is ordinary text where `plain` is set.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else special_strings(self.tokenizer)
         self.model = self.tokenizer.model
         self.memo = Memo(self._encode)
 
@@ -58,8 +65,9 @@ class WordEncoder:
             out.append(array("I", ids).tobytes())
         return out
 
-    @staticmethod
-    def _mark(text: str, sep: str) -> str:
+    def _mark(self, text: str, sep: str) -> str:
+        if any(s in text for s in self.special):
+            return text
         text = text.replace("\n", " ")
         if text.isascii() and looks(text)[1]:  # then a mark is a token of its own, with or without white space around it
             text = text.lower().replace(".", " . ").replace(",", " , ")
@@ -70,11 +78,11 @@ class WordEncoder:
         return encode_batch(texts, self._mark, self.memo)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, plain: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian u32): each document's ids and `end`, cut where longer than `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, step = WordEncoder(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, last, step = WordEncoder(tokenizer, plain), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in small_batches(batches, 1):
             rows: list[tuple] = []
             all_, lengths = encoder.encode(texts_of(batch, 1))
@@ -86,48 +94,61 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids"])
 
     whole = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {whole}, piece int, start bigint, length bigint, ids binary")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {whole}, piece int, start bigint, length bigint, ids binary")
+
+
+def _dominating(j: int, counts: dict[int, int], sizes: list[int], capacity: int) -> tuple[int, ...] | None:
+    """A set with a piece of length `j` that dominates every other such set, or None where the rules give none."""
+    room = capacity - j
+    fit = bisect_left(sizes, room + 1)
+    least: list[int] = []  # the shortest other pieces, as many as matter
+    for s in sizes[:fit]:
+        least += [s] * min(3 - len(least), counts[s] - (s == j))
+        if len(least) == 3:
+            break
+    if not least:
+        return (j,)
+    best = next(s for s in reversed(sizes[:fit]) if counts[s] > (s == j))
+    if best == room or len(least) < 2 or least[0] + least[1] > room:
+        return (j, best)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    # Two fit beside j, but no three: the fullest pair, and the longest that the shorter of any pair can be.
+    small = [s for s in sizes[:fit] for _ in range(min(2, counts[s] - (s == j)))]
+    pair, balanced, lo, hi = (0, 0), 0, 0, len(small) - 1
+    while lo < hi:
+        both = small[lo] + small[hi]
+        if both > room:
+            hi -= 1
+        else:
+            if both > sum(pair):
+                pair = (small[hi], small[lo])
+            balanced = max(balanced, small[lo])
+            lo += 1
+    if best >= sum(pair):
+        return (j, best)
+    if pair[0] == best and pair[1] >= balanced:
+        return (j, *pair)
+    return None
 
 
 def _reduce(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Take dominating sets out of `counts`; returns them with their numbers."""
+    """Take dominating sets out of `counts`, pass after pass, until no length has one; returns them with their numbers."""
     fixed: list[tuple[tuple[int, ...], int]] = []
-    sizes = sorted(counts)
-
-    def take(chosen: tuple[int, ...]) -> None:
-        need = {s: chosen.count(s) for s in chosen}
-        n = min(counts[s] // k for s, k in need.items())
-        for s, k in need.items():
-            counts[s] -= k * n
-            if not counts[s]:
-                del counts[s]
-                sizes.pop(bisect_left(sizes, s))
-        fixed.append((chosen, n))
-
-    def have(s: int, used: tuple[int, ...]) -> bool:
-        return counts.get(s, 0) > used.count(s)
-
-    while sizes:
-        j = sizes[-1]
-        room = capacity - j
-        best = next((s for s in reversed(sizes[: bisect_left(sizes, room + 1)]) if have(s, (j,))), None)
-        if best is None:
-            take((j,))
-            continue
-        small = [s for s in sizes[: bisect_left(sizes, room + 1)] for _ in range(min(2, counts[s] - (s == j))) if counts[s] > (s == j)]
-        if best == room or len(small) < 2 or small[0] + small[1] > room:
-            take((j, best))
-            continue
-        pair, lo, hi = 0, 0, len(small) - 1
-        while lo < hi and pair <= best:
-            both = small[lo] + small[hi]
-            if both > room:
-                hi -= 1
-            else:
-                pair, lo = max(pair, both), lo + 1
-        if pair > best:
-            break
-        take((j, best))
+    sizes, again = sorted(counts), True
+    while again:
+        again = False
+        for j in sizes[::-1]:
+            while counts.get(j) and (chosen := _dominating(j, counts, sizes, capacity)):
+                need = {s: chosen.count(s) for s in chosen}
+                n = min(counts[s] // k for s, k in need.items())
+                for s, k in need.items():
+                    counts[s] -= k * n
+                    if not counts[s]:
+                        del counts[s]
+                        sizes.pop(bisect_left(sizes, s))
+                fixed.append((chosen, n))
+                again = True
     return fixed
 
 
@@ -205,7 +226,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     names, at = pieces.columns, pieces.columns.index("length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    numbered = materialize(pieces.mapInArrow(number, f"{schema}, __task int, __rank bigint"), "pieces")
+    numbered = materialize(in_arrow(pieces, number, f"{schema}, __task int, __rank bigint"), "pieces")
     counts = numbered.groupBy("__task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
@@ -225,7 +246,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     ranked = numbered.join(bases, ["__task", "length"]).select(*names, (F.col("__rank") + F.col("__base")).alias("__rank"))
-    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return in_arrow(ranked, place, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

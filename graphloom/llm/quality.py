@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, rows_of, small_batches, training_rows
+from graphloom.llm.common import held_out, in_arrow, rows_of, small_batches, training_rows
 
 PER_CLASS, MAX_CHARS, DICTIONARY, LEVEL, PIECE, SEED = 3000, 10_000, 110_000, 3, 1 << 17, 42
 DIMS = 6
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             s = model.score(features(rows_of(batch, len(kept)), sides))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s)], names=[*kept, name])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, "text"), run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -144,4 +144,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
         for batch in small_batches(batches, at, 1 << 20):
             yield batch.filter(pa.array(model.score(features(rows_of(batch, at), sides)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

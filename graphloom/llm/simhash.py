@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, materialize, rows_of, small_batches
+from graphloom.llm.common import connected_components, in_arrow, materialize, rows_of, small_batches
 from graphloom.llm.likeness import meetings, sets, signatures, similar_links
 
 SHINGLE, SEED, BLOCKS, MAX_BITS, CELL = 3, 42, 6, 3, 2048
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             fps = pa.array([fingerprint(x) for x in rows_of(batch, len(kept))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fps], names=[*kept, "fp"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, text), run, schema)
 
 
 def block_keys(fp: str = "fp", blocks: int = BLOCKS, bits: int = MAX_BITS):
@@ -136,7 +136,7 @@ def near_links(distinct: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS,
     dealt = met.withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("t", "key", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "fp")
     ordered = dealt.repartition("t", "key", "ca", "cb").sortWithinPartitions("t", "key", "ca", "cb")
-    return ordered.mapInArrow(lambda it: _links(it, bits), "a bigint, b bigint").distinct()
+    return in_arrow(ordered, lambda it: _links(it, bits), "a bigint, b bigint").distinct()
 
 
 def classes(reps: DataFrame, links: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Memo, byte_level, encode_batch, marked, plain_word, splitter
-from graphloom.llm.common import discard, materialize, ordered_buckets, shared_path, small_batches, texts_of
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, marked, plain_word, special_strings, splitter
+from graphloom.llm.common import discard, in_arrow, materialize, ordered_buckets, shared_path, small_batches, texts_of
 
 MAGIC, HEAD, FILE_IDS = b"GLTOKEN1", struct.Struct("<8sIQQQ"), 4_000_000
 #: The split pattern of byte-level tokenizers with use_regex.
@@ -59,11 +59,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The ids of whole texts by a byte-level tokenizers file; strings of special tokens are ordinary text."""
+    """The ids of whole texts by a byte-level tokenizers file.
 
-    def __init__(self, path: str):
+    A special token's string in a text gives its id, as the library does it, or is ordinary text where `plain` is set.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else special_strings(self.tokenizer)
         self.pattern = splitter(PATTERN)
         self.model = self.tokenizer.model
         self.memo = Memo(self._encode)
@@ -84,7 +88,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
-        return encode_batch(texts, lambda text, sep: marked(text, self.pattern, sep), self.memo)
+        return encode_batch(texts, self._mark, self.memo)
+
+    def _mark(self, text: str, sep: str) -> str:
+        return text if any(s in text for s in self.special) else marked(text, self.pattern, sep)
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
@@ -99,7 +106,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             ids = pa.array([all_[b - n : b].tobytes() + last for b, n in zip(np.cumsum(lengths), lengths)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, ids binary")
 
 
 def id_type(tokenizer: str, end: int) -> str:
@@ -120,7 +127,7 @@ def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(encoded.select("ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def batches_of(rows: list[bytes], most: int = 1 << 22) -> Iterator[bytes]:
@@ -200,7 +207,7 @@ def write_files(docs: DataFrame, root: str, tokenizer: str, end: int, file_ids:
             yield flush()
 
     ordered = encoded.select("bucket", "doc_id", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.crc32("ids"), F.octet_length("ids"))
-    files = ordered.mapInArrow(write, "file string, docs bigint, ids bigint").collect()  # a row for each file: about sqrt(documents)
+    files = in_arrow(ordered, write, "file string, docs bigint, ids bigint").collect()  # a row for each file: about sqrt(documents)
     discard(encoded)
     start, rows = 0, []
     for r in sorted(files, key=lambda r: r.file):
@@ -236,7 +243,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
                 arrays = [pa.array(ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, schema)
+    return in_arrow(files, run, schema)
 
 
 def file_round_trip(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:

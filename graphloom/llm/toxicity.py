@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.chunks import Cache
-from graphloom.llm.common import held_out, small_batches, texts_of, training_rows
+from graphloom.llm.common import held_out, in_arrow, small_batches, texts_of, training_rows
 
 MOST, MAX_CHARS, BITS, STEPS, BLOCK, SPAN, BATCH = (4000, 2000), 10_000, 18, 25, 64, 0.5, 2 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             spans = [[{"begin": a, "end": b} for a, b in spans_of(t, p)] if len(p) and p.max() >= SPAN else [] for t, p in zip(texts, tagged)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores), pa.array(spans, kind)], names=[*kept, "score", "spans"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, "text"), run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -259,4 +259,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
         for batch in small_batches(batches, at, BATCH):
             yield batch.filter(pa.array(_scored(shared.value, texts_of(batch, at), cache)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -53,9 +53,7 @@ def keyed(rows):
 
 # Packing
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_whole(odd, none):
@@ -122,6 +120,24 @@ def test_plan_is_valid_and_near_the_optimum():
         assert least <= n <= least + 1
 
 
+def test_reduction_keeps_the_optimum():
+    rng, sets = random.Random(1), {1: 0, 2: 0, 3: 0}
+    for t in range(2500):
+        capacity = rng.choice([20, 33, 50])
+        items = [rng.randint(rng.choice([1, 3, capacity // 5]), rng.choice([capacity, capacity // 2])) for _ in range(rng.randint(1, 9))]
+        if not t:
+            capacity, items = 33, [16, 14, 14, 7, 6, 5, 4]
+        left = {s: items.count(s) for s in set(items)}
+        fixed = packing._reduce(left, capacity)
+        for chosen, n in fixed:
+            sets[len(chosen)] += n
+            assert sum(chosen) <= capacity
+        rest = [s for s, n in left.items() for _ in range(n)]
+        assert sorted(rest + [s for chosen, n in fixed for s in chosen * n]) == sorted(items)
+        assert sum(n for _, n in fixed) + best_possible(rest, capacity) == best_possible(items, capacity)
+    assert min(sets.values()) > 100
+
+
 def test_reduction_fixes_dominating_sets():
     counts = {15: 2, 5: 2, 19: 1, 8: 1}
     fixed = packing._reduce(counts, 20)
@@ -343,11 +359,12 @@ def test_chunks_don_t_change_encodings():
     alphabet = [*"ab e'sdt\n\t  \r12\x1f\x85 éßİΣ漢🎉.,!_×", "<|endoftext|>", "'ll", "..."]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     for make, name in ((packing.WordEncoder, "word_bpe_49k.json"), (tokenfiles.Encoder, "byte_bpe_50k.json")):
-        path = public_tokenizers.path(name)
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        ids, n = make(path).encode(texts)
-        assert ids.tolist() == [i for x in t.encode_batch(texts, add_special_tokens=False) for i in x.ids] and n.sum() == len(ids)
+        for plain in (False, True):
+            path = public_tokenizers.path(name)
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = plain
+            ids, n = make(path, plain).encode(texts)
+            assert ids.tolist() == [i for x in t.encode_batch(texts, add_special_tokens=False) for i in x.ids] and n.sum() == len(ids)
 
 
 def test_merge_of_long_pieces():
