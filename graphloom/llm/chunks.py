@@ -68,20 +68,32 @@ def marked(text: str, pattern: regex.Pattern, sep: str) -> str:
 
 
 class Memo:
-    """What `make` gives for pieces. It keeps up to `most` of them; when they are more, those of the last batch only."""
+    """What `make` gives for pieces, in two generations of at most `most` pieces and about `room` bytes each;
+    pieces over `longest` characters aren't kept.
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 300_000):
-        self.make, self.most, self.held = make, most, {}
+    A piece used again moves to the newer generation; when that is full it becomes the older one, and the older one goes.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 240_000, room: int = 48 << 20, longest: int = 256):
+        self.make, self.most, self.room, self.longest = make, most, room, longest
+        self.held, self.older, self.size = {}, {}, 0
 
     def get(self, pieces: list[str]) -> list[bytes]:
         known = list(map(self.held.get, pieces))
-        new = [k for k, v in enumerate(known) if v is None]
+        lacking = [k for k, v in enumerate(known) if v is None]
+        new = []
+        for k in lacking:
+            v = known[k] = self.older.get(pieces[k])
+            if v is None:
+                new.append(k)
         for k, v in zip(new, self.make([pieces[k] for k in new])):
             known[k] = v
-        if len(self.held) + len(new) > self.most:
-            self.held = dict(zip(pieces, known))
-        else:
-            self.held.update((pieces[k], known[k]) for k in new)
+        for k in lacking:
+            if len(self.held) >= self.most or self.size >= self.room:
+                self.older, self.held, self.size = self.held, {}, 0
+            if len(pieces[k]) <= self.longest:
+                self.held[pieces[k]] = known[k]
+                self.size += len(pieces[k]) + len(known[k]) + 100
         return known
 
 
@@ -96,19 +108,21 @@ def encode_batch(texts: list[str], mark: Callable[[str, str], str], memo: Memo)
         parts = [b"".join(memo.make(mark(t, SEPARATORS[0]).split(SEPARATORS[0]) if SEPARATORS[0] not in t else [t])) for t in texts]
         return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], dtype=np.int64)
     lists = pc.split_pattern(pa.array([mark(t, sep) for t in texts], pa.large_string()), sep)
-    pieces = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     coded = lists.flatten().dictionary_encode()
+    del lists
     codes = coded.indices.to_numpy(zero_copy_only=False)
     parts = memo.get(coded.dictionary.to_pylist())
-    length = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-    start = np.cumsum(length) - length
+    del coded
+    length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     ids = np.frombuffer(b"".join(parts), "<u4")
+    del parts
     each = length[codes]
     upto = np.concatenate([[0], np.cumsum(each)])
-    at = np.repeat(start[codes] - upto[:-1], each)
-    at += np.arange(len(at))
-    ends = np.cumsum(pieces)
-    return ids[at], upto[ends] - upto[ends - pieces]
+    small = np.int32 if len(ids) < 1 << 31 and upto[-1] < 1 << 31 else np.int64  # half the memory
+    at = np.repeat(((np.cumsum(length) - length)[codes] - upto[:-1]).astype(small), each)
+    at += np.arange(len(at), dtype=small)
+    return ids[at], np.diff(upto[ends], prepend=0)
 
 
 class Cache(dict):

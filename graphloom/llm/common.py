@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.written import drop, shared_root
 
+#: Bytes of an Arrow batch and of a row group of what is written: a few of each are in memory at a time in every task.
+BATCH, ROW_GROUP = 4 << 20, 32 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +30,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path  # for discard()
     return back
@@ -39,7 +42,14 @@ def discard(df: DataFrame) -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow, in one place for all operators."""
+    """mapInArrow with batches of about BATCH bytes: rows are texts, so that a number of rows bounds nothing.
+
+    The setting is one of the session, and stays: plans are run after they are made. A lower one is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name).rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH:
+        conf.set(name, str(BATCH))
     return df.mapInArrow(run, schema)
 
 

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word, special_strings
-from graphloom.llm.common import in_arrow, materialize, small_batches, texts_of
+from graphloom.llm.common import discard, in_arrow, materialize, small_batches, texts_of
 
-CAPACITY, END = 2048, 0
+CAPACITY, END, TEXTS = 2048, 0, 3 << 20
 
 
 class WordEncoder:
@@ -82,15 +82,20 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
     """doc_id, piece, start, length, ids (little-endian u32): each document's ids and `end`, cut where longer than `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, step = WordEncoder(tokenizer, plain), np.array([end], "<u4").tobytes(), 4 * capacity
-        for batch in small_batches(batches, 1):
-            rows: list[tuple] = []
-            all_, lengths = encoder.encode(texts_of(batch, 1))
-            for k, (b, n) in enumerate(zip(np.cumsum(lengths), lengths)):
-                ids = all_[b - n : b].tobytes() + last
-                rows += [(k, at // step, at // 4, ids[at : at + step]) for at in range(0, len(ids), step)]
-            whose, piece, start, ids = zip(*rows)
-            arrays = [batch.column(0).take(pa.array(whose)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        encoder = WordEncoder(tokenizer, plain)
+        for batch in small_batches(batches, 1, TEXTS):
+            ids, lengths = encoder.encode(texts_of(batch, 1))
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end)  # one end after each document
+            lengths += 1
+            ends += np.arange(1, len(ends) + 1)
+            each = -(-lengths // capacity)
+            whose = np.repeat(np.arange(len(each)), each)
+            piece = np.arange(len(whose)) - np.repeat(np.cumsum(each) - each, each)
+            size = np.minimum(capacity, lengths[whose] - piece * capacity)
+            offsets = 4 * np.concatenate([[0], np.cumsum(size)])
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            arrays = [batch.column(0).take(pa.array(whose)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(size), cut.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids"])
 
     whole = docs.schema["doc_id"].dataType.simpleString()
@@ -211,7 +216,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, tu
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`pieces` (with a column length) and sequence_id, offset."""
+    """`pieces` (with a column length) and sequence_id, offset.
+
+    `pieces` are written before they are numbered, so that no task has two Python workers at a time.
+    """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
@@ -226,7 +234,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     names, at = pieces.columns, pieces.columns.index("length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    numbered = materialize(in_arrow(pieces, number, f"{schema}, __task int, __rank bigint"), "pieces")
+    pieces = materialize(pieces, "pieces")
+    numbered = materialize(in_arrow(pieces, number, f"{schema}, __task int, __rank bigint"), "numbered")
+    discard(pieces)
     counts = numbered.groupBy("__task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
