@@ -57,6 +57,12 @@ add("minus_disjoint", "SELECT ?n WHERE { ?r :r_name ?n MINUS { ?x :n_name ?y } }
 add("minus_nullable", "SELECT ?d ?q WHERE { ?d :documents_source 'src5' . OPTIONAL { ?d :labels_quality ?q } MINUS { ?e :labels_quality ?q . FILTER(?q = 0) } }", "SELECT 'urn:t:documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE source = 'src5' AND (quality IS NULL OR quality <> 0)")
 add("exists", "SELECT ?n WHERE { ?c :c_name ?n . FILTER EXISTS { ?o :o_custkey ?c ; :o_orderstatus 'F' } }", "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 add("not_exists", "SELECT ?n WHERE { ?c :c_name ?n . FILTER NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?p . FILTER(?p > 300000) } }", "SELECT c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+add("optional_exists", "SELECT ?n ?x WHERE { ?r :r_name ?n . VALUES ?z { 1 2 } OPTIONAL { ?k :n_regionkey ?r ; :n_name ?x . FILTER EXISTS { ?s :s_nationkey ?k ; :s_acctbal ?b . FILTER(?b > 8000) } } }", "SELECT r_name AS n, n_name AS x FROM region CROSS JOIN (VALUES (1), (2)) LEFT JOIN nation ON n_regionkey = r_regionkey AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 8000)")
+add("exists_outer_bind", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?p . BIND(?b * 40 AS ?f) FILTER(?p > ?f) FILTER(?f > 0) } }", "SELECT c_name AS n FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)")
+add("exists_outer_union", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER EXISTS { { ?o :o_custkey ?c ; :o_totalprice ?p . FILTER(?p > ?b * 45) } UNION { ?o :o_custkey ?c ; :o_orderstatus 'P' . FILTER(?b < 0) } } }", "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > c_acctbal * 45 OR o_orderstatus = 'P' AND c_acctbal < 0))")
+add("not_exists_outer_nested", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER NOT EXISTS { ?o :o_custkey ?c FILTER EXISTS { ?l :l_orderkey ?o ; :l_extendedprice ?e . FILTER(?e > ?b * 9) } } }", "SELECT c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > c_acctbal * 9))")
+add("distinct_order_unselected", "SELECT DISTINCT ?n WHERE { ?c :c_nationkey ?k ; :c_acctbal ?b . ?k :n_name ?n } ORDER BY DESC(?b) LIMIT 5", "SELECT n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY max(c_acctbal) DESC LIMIT 5")
+add("distinct_order_exists", "SELECT DISTINCT ?n WHERE { ?k :n_name ?n } ORDER BY (EXISTS { ?s :s_nationkey ?k ; :s_acctbal ?b . FILTER(?b > 8000) }) ?n LIMIT 7", "SELECT n_name AS n FROM nation ORDER BY EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 8000), 1 LIMIT 7")
 add("exists_outer_filter", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?p . FILTER(?p > ?b * 45) } }", "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 45)")
 add("exists_in_or", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER(?b > 9000 || EXISTS { ?o :o_custkey ?c ; :o_orderpriority '1-URGENT' }) }", "SELECT c_name AS n FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 add("exists_disjoint", "SELECT ?n WHERE { ?r :r_name ?n . FILTER EXISTS { ?p :p_size 3 } FILTER NOT EXISTS { ?p :p_size -1 } }", "SELECT r_name AS n FROM region WHERE EXISTS (SELECT 1 FROM part WHERE p_size = 3)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -40,7 +41,21 @@ def call(ctx: Context, name: str, args: list[Val]) -> Val:
         return ctx.custom[name](*args)
     if name not in TABLE:
         return NULL  # an unknown function is an error in every row
-    return TABLE[name](ctx, *args)
+    out = _named_once(TABLE[name], ctx, args) if name not in ("REGEX", "REPLACE") and any(a.made for a in args) else TABLE[name](ctx, *args)
+    return replace(out, made=True) if out.type == "term" else out
+
+
+def _named_once(f: Callable, ctx: Context, args: list[Val]) -> Val:
+    """f(ctx, *args) with computed terms bound to a name once. Functions name their arguments dozens of times, so expressions
+    of expressions would grow exponentially where they are put in place of their names."""
+    at, told = [k for k, a in enumerate(args) if a.made], []
+
+    def body(x: Column) -> Column:
+        told.append(f(ctx, *(Val("term", x[f"a{k}"]) if k in at else a for k, a in enumerate(args))))
+        return told[-1].col
+
+    col = F.get(F.transform(F.array(F.struct(*(args[k].col.alias(f"a{k}") for k in at))), body), F.lit(0))
+    return told[-1] if told[-1].type == "null" else Val(told[-1].type, col, told[-1].extra)
 
 
 # Logic and comparison

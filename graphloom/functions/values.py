@@ -23,12 +23,16 @@ _NUMBER = {"decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$", "integer": r"^[+-]?\d+$", "
 
 @dataclass(frozen=True)
 class Val:
-    """type: a key of NATIVE, or null. extra: for iri the prefix before a native key (None: `col` is the whole IRI)."""
+    """type: a key of NATIVE, or null. extra: for iri the prefix before a native key (None: `col` is the whole IRI).
+
+    made: a term that is computed, not stored. Its expression is long, and the optimiser may put it wherever `col` is named.
+    """
 
     type: str
     col: Column
     extra: str | None = None
     const: Term | None = None
+    made: bool = False
 
     @property
     def kind(self) -> tuple[str, str | None]:
@@ -38,7 +42,7 @@ class Val:
 class _Null:
     """The value of an unbound variable."""
 
-    type, extra, const, kind = "null", None, None, ("null", None)
+    type, extra, const, made, kind = "null", None, None, False, ("null", None)
 
     @property
     def col(self) -> Column:
@@ -151,12 +155,14 @@ def common(vals: list[Val]) -> list[Val]:
     kinds = {v.kind for v in vals if v.type != "null"}
     if len(kinds) == 1:
         (kind,) = kinds
-        return [Val(kind[0], v.col if v.type != "null" else F.lit(None), kind[1]) for v in vals]
+        made = any(v.made for v in vals)
+        return [Val(kind[0], v.col if v.type != "null" else F.lit(None), kind[1], made=made) for v in vals]
     if not kinds:
         return [Val("null", F.lit(None)) for _ in vals]
     if {k for k, _ in kinds} == {"iri"}:
         return [as_iri(v) if v.type == "iri" else Val("iri", F.lit(None).cast("string")) for v in vals]
-    return [Val("term", to_term(v)) for v in vals]
+    made = any(v.made or v.type in (*NUMERIC, "dateTime") and v.const is None for v in vals)
+    return [Val("term", to_term(v), made=made) for v in vals]
 
 
 def same(a: Val, b: Val) -> Column:
@@ -178,6 +184,14 @@ def same(a: Val, b: Val) -> Column:
     return F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False))
 
 
+def meets(a: Val, b: Val) -> Column:
+    """same() for joins, where null will do for false: an equation of one side's expression with the other's wherever there can be one."""
+    for x, y in ((a, b), (b, a)):
+        if x.type == y.type == "iri" and x.extra is not None and y.extra is None and y.const is None:
+            return x.col.cast("string") == F.when(y.col.startswith(x.extra), F.substring(y.col, len(x.extra) + 1, 1 << 30))
+    return same(a, b)
+
+
 # Dynamic numbers
 @dataclass(frozen=True)
 class Num:

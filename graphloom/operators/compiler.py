@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import library
@@ -18,6 +18,9 @@ from graphloom.plans import algebra as A
 from graphloom.sources.base import Active, QuadSource
 from graphloom.terms import IRI
 
+#: Before the name of a variable: its value outside an EXISTS, as a struct.
+OUTER = "?outer "
+
 
 class Compiler:
     def __init__(self, spark: SparkSession, source: QuadSource, query: A.Query, custom: dict[str, Callable] | None = None):
@@ -25,7 +28,7 @@ class Compiler:
         self.context = library.Context(query.base, custom)
         self.mentions = A.mentioned(query)
         self.all_wanted = query.form == "SELECT" and not query.names or self._counts_rows(query)
-        self.order: list[Column] = []
+        self.outer: Rel | None = None  # inside an EXISTS: the solutions it is asked for
 
     @staticmethod
     def _counts_rows(x) -> bool:
@@ -51,19 +54,19 @@ class Compiler:
                 return R.join(self.pattern(a, active), self.pattern(b, active))
             case A.LeftJoin(a, b, condition):
                 left, right = self.pattern(a, active), self.pattern(b, active)
+                left = self.seed(left, {n: 1 for n in right.vars if n.startswith(OUTER)} | A.mentioned(condition), right.vars)
                 if condition is not None and self._exists_in(condition):
-                    # An EXISTS sees joined rows: keep those that pass, then add the rows that had none.
-                    right = self.filter(condition, R.join(left, right), active)
-                    return R.left_join(left, right)
+                    return self.optional_exists(left, right, condition, active)
                 return R.left_join(left, right, None if condition is None else lambda vals: V.ebv(self.expression(condition, vals)))
             case A.Union(a, b):
                 return R.union([self.pattern(a, active), self.pattern(b, active)])
             case A.Minus(a, b):
-                return R.minus(self.pattern(a, active), self.pattern(b, active))
+                left, right = self.pattern(a, active), self.pattern(b, active)
+                return R.minus(self.seed(left, {n: 1 for n in right.vars if n.startswith(OUTER)}), right, OUTER)
             case A.Filter(condition, p):
                 return self.filter(condition, self.pattern(p, active), active)
             case A.Extend(p, name, e):
-                rel = self.pattern(p, active)
+                rel = self.seed(self.pattern(p, active), A.mentioned(e))
                 rel, vals = self.with_exists(e, rel, active)
                 v = self.expression(e, vals)
                 kept = {n: rel.vars[n] for n in rel.vars if not n.startswith("?exists")}
@@ -76,13 +79,8 @@ class Compiler:
             case A.Group():
                 return self.group(x, active)
             case A.OrderBy(p, keys):
-                rel = self.pattern(p, active)
-                cols = []
-                for e, down in keys:
-                    rel, vals = self.with_exists(e, rel, active)
-                    k = sort_key(self.expression(e, vals))
-                    cols.append(k.desc_nulls_last() if down else k.asc_nulls_first())
-                return Rel(rel.df.orderBy(*cols), rel.vars, rel.bound)
+                rel, cols = self.ordered(p, keys, active)
+                return Rel(rel.df.orderBy(*(k.desc_nulls_last() if down else k.asc_nulls_first() for k, down in cols)), rel.vars, rel.bound)
             case A.Project(p, names):
                 return self.project(p, names, active)
             case A.Distinct(A.Project(A.OrderBy(p, keys), names)):
@@ -97,22 +95,39 @@ class Compiler:
                 return Rel(df if limit is None else df.limit(limit), rel.vars, rel.bound)
         raise NotImplementedError(type(x).__name__)
 
+    def visible(self, rel: Rel, names, active: Active) -> list[str]:
+        """The variables that a projection keeps; one that GRAPH binds, and outer values, go on beside those named."""
+        more = [n for n in rel.vars if (n == active.var or n.startswith(OUTER)) and n not in names]
+        return [*names, *more]
+
     def project(self, p, names, active: Active) -> Rel:
         rel = self.pattern(p, active)
-        if active.var and active.var not in names:  # a variable of the same name inside is another one
-            rel = Rel(rel.df, {n: v for n, v in rel.vars.items()}, rel.bound)
-            names = (*names, active.var) if active.var in rel.vars else names
-        return build(rel.df, {n: rel.value(n) for n in names}, rel.bound)
+        return build(rel.df, {n: rel.value(n) for n in self.visible(rel, names, active)}, rel.bound)
 
-    def distinct_ordered(self, p, keys, names, active: Active) -> Rel:
-        """DISTINCT with ORDER BY: distinct terms first; an order by anything not selected can't matter to a set of rows beyond that."""
-        rel = R.distinct(self.project(p, names, active))
-        cols = []
+    def ordered(self, p, keys, active: Active) -> tuple[Rel, list[tuple[Column, bool]]]:
+        """A pattern's solutions and the columns to order them by, each with whether it goes down."""
+        rel, cols = self.pattern(p, active), []
         for e, down in keys:
-            if all(n in rel.vars for n in A.mentioned(e)):
-                k = sort_key(self.expression(e, rel.vars))
-                cols.append(k.desc_nulls_last() if down else k.asc_nulls_first())
-        return Rel(rel.df.orderBy(*cols), rel.vars, rel.bound) if cols else rel
+            rel, vals = self.with_exists(e, rel, active)
+            cols.append((sort_key(self.expression(e, vals)), down))
+        return rel, cols
+
+    def distinct_ordered(self, p, keys, names, active: Active) -> Rel:
+        """DISTINCT with ORDER BY: a solution stands where the first of its equals would."""
+        if all(n in names for n in A.mentioned(keys)) and not self._exists_in(keys):
+            rel = R.distinct(self.project(p, names, active))
+            cols = [(sort_key(self.expression(e, rel.vars)), down) for e, down in keys]
+            return Rel(rel.df.orderBy(*(k.desc_nulls_last() if down else k.asc_nulls_first() for k, down in cols)), rel.vars, rel.bound)
+        rel, cols = self.ordered(p, keys, active)
+        vals = {n: rel.value(n) for n in self.visible(rel, names, active)}
+        laid = {n: fresh(n) for n in vals}
+        by = [fresh("key") for _ in cols]
+        df = rel.df.select(*(v.col.alias(laid[n]) for n, v in vals.items()), *(k.alias(c) for (k, _), c in zip(cols, by)))
+        order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for (_, down), c in zip(cols, by)]
+        at = fresh("at")
+        df = df.withColumn(at, F.row_number().over(Window.partitionBy(*(F.col(f"`{c}`") for c in laid.values())).orderBy(*order))).filter(F.col(at) == 1)
+        out = {n: Val(v.type, F.col(f"`{laid[n]}`"), v.extra, made=v.made) for n, v in vals.items()}
+        return build(df.orderBy(*order), out, rel.bound)
 
     def bgp(self, triples: tuple[A.Triple, ...], active: Active) -> Rel:
         if not triples:
@@ -163,6 +178,30 @@ class Compiler:
         return Rel(df, vals, sure)
 
     # Filters and EXISTS
+    def seed(self, rel: Rel, names, known=()) -> Rel:
+        """Inside an EXISTS: `rel` joined with the outer values of those of `names` that it (and `known`) lacks.
+
+        A value comes with a copy under OUTER and its name, which is never null: so the solutions of an outer value, an unbound one
+        among them, stay apart from those of others until the EXISTS compares the copies.
+        """
+        outer = self.outer
+        if outer is None:
+            return rel
+        need = {n.removeprefix(OUTER) for n in names} & {n for n in outer.vars if OUTER + n in outer.vars}
+        need = {n for n in need if OUTER + n not in rel.vars and (OUTER + n in names or n not in rel.vars and n not in known)}
+        if not need:
+            return rel
+        shared = [n for n in outer.vars if n in rel.vars]
+        return R.join(rel, R.distinct(outer.keep([*shared, *need, *(OUTER + n for n in need)])))
+
+    def optional_exists(self, left: Rel, right: Rel, condition, active: Active) -> Rel:
+        """OPTIONAL whose filter holds an EXISTS: joined rows that pass, and the rows of `left` of which none did, told by their values."""
+        own = {f"?own {n}": v for n, v in left.vars.items()}
+        both = self.filter(condition, R.join(build(left.df, left.vars | own, left.bound | {f"?own {n}" for n in left.bound}), right), active)
+        met = R.distinct(both.keep(own)).renamed({f"?own {n}": n for n in left.vars})
+        rest = R.lacking(left, met)
+        return R.union([both.keep([n for n in both.vars if n not in own]), build(rest.df, rest.vars, rest.bound)])
+
     def filter(self, condition, rel: Rel, active: Active) -> Rel:
         if isinstance(condition, A.Call) and condition.name == "&&":
             for c in condition.args:
@@ -170,21 +209,37 @@ class Compiler:
             return rel
         if isinstance(condition, A.Call) and condition.name == "!" and isinstance(condition.args[0], A.Exists):
             condition = A.Exists(condition.args[0].pattern, not condition.args[0].negated)
+        rel = self.seed(rel, A.mentioned(condition))
         if isinstance(condition, A.Exists):
-            inner, test = self.inner(condition, rel, active)
-            return R.without(rel, inner, test) if condition.negated else R.semi(rel, inner, test)
-        kept = dict(rel.vars)
+            asked, inner, test = self.inner(condition, rel, active)
+            out = R.without(asked, inner, test) if condition.negated else R.semi(asked, inner, test)
+            return out if asked is rel else out.keep(rel.vars)
+        kept = list(rel.vars)
         rel, vals = self.with_exists(condition, rel, active)
         out = rel.filter(V.ebv(self.expression(condition, vals)))
-        return Rel(out.df, kept, out.bound) if len(out.vars) == len(kept) else build(out.df, kept, out.bound)
+        return out if len(out.vars) == len(kept) else out.keep(kept)
 
     def inner(self, e: A.Exists, rel: Rel, active: Active):
-        """The pattern of an EXISTS, and the part of its filter that needs outer variables."""
+        """`rel` as the EXISTS is asked for it, the pattern's solutions, and the part of its filter that needs outer variables.
+
+        A filter on top is part of the match. Where something deeper needs an outer value, the pattern is joined with the distinct
+        outer values there, and `rel` comes with copies of them to compare.
+        """
         p, test = e.pattern, None
         if isinstance(p, A.Filter) and not self._exists_in(p.condition) and set(A.mentioned(p.condition)) & (set(rel.vars) - set(A.in_scope(p.pattern))):
             condition, p = p.condition, p.pattern
             test = lambda vals: V.ebv(self.expression(condition, vals))
-        return self.pattern(p, active), test
+        names = [n for n in rel.vars if n in A.mentioned(p) and not n.startswith(OUTER)]
+        copies = {OUTER + n: Val("outer", F.struct(rel.vars[n].col.alias("v"))) for n in names if OUTER + n not in rel.vars}
+        asked = build(rel.df, rel.vars | copies, rel.bound | set(copies))
+        held, self.outer = self.outer, asked
+        try:
+            found = self.pattern(p, active)
+        finally:
+            self.outer = held
+        if not any(n in found.vars for n in copies):
+            return rel, found, test
+        return asked, found, test
 
     def _exists_in(self, x) -> bool:
         return isinstance(x, A.Exists) or any(self._exists_in(c) for c in A.children(x))
@@ -203,24 +258,24 @@ class Compiler:
         look(e)
         vals = dict(rel.vars)
         for x in found:
-            inner, test = self.inner(x, rel, active)
-            names = [n for n in rel.vars if n in inner.vars or (test is not None and n in A.mentioned(x.pattern))]
+            rel = self.seed(rel, A.mentioned(x))
+            own = list(rel.vars)
+            asked, inner, test = self.inner(x, rel, active)
+            names = [n for n in asked.vars if n in inner.vars or (test is not None and n in A.mentioned(x.pattern))]
+            c = fresh("exists")
             if not names:
                 one = inner.df.limit(1).select(F.lit(True).alias("hit")).agg((F.count("*") > 0).alias("hit"))
-                c = fresh("exists")
                 df = rel.df.crossJoin(one.withColumnRenamed("hit", c))
             else:
-                keys = R.distinct(rel.keep(names))
-                hits = R.semi(keys, inner, test)
-                c = fresh("exists")
-                on = F.lit(True)
+                hits = R.semi(R.distinct(asked.keep(names)), inner, test)
+                rel, on = asked, F.lit(True)
                 for n in names:
                     a, b = rel.vars[n].col, hits.vars[n].col
                     on = on & (a == b if n in rel.bound else a.eqNullSafe(b))
                 flagged = hits.df.withColumn(c, F.lit(True))
                 df = rel.df.join(flagged, on, "left").drop(*[k for k in hits.df.columns])
             name = f"?exists{id(x)}"
-            rel = Rel(df, rel.vars | {name: Val("boolean", F.coalesce(F.col(f"`{c}`"), F.lit(False)))}, rel.bound)
+            rel = Rel(df, rel.vars | {name: Val("boolean", F.coalesce(F.col(f"`{c}`"), F.lit(False)))}, rel.bound).keep([*own, name])
             vals = dict(rel.vars)
         return rel, vals
 
@@ -238,8 +293,7 @@ class Compiler:
     # Groups
     def group(self, g: A.Group, active: Active) -> Rel:
         rel = self.pattern(g.pattern, active)
-        if active.var in rel.vars and active.var not in g.keys:  # GRAPH ?g { SELECT ... }: groups of each graph
-            g = A.Group(g.pattern, (*g.keys, active.var), g.aggregates)
+        g = A.Group(g.pattern, tuple(self.visible(rel, g.keys, active)), g.aggregates)  # GRAPH ?g { SELECT ... }: groups of each graph
         cols = {}
         pre, bound = {}, set()
         for n in g.keys:
@@ -258,8 +312,9 @@ class Compiler:
             v, is_sure = aggregates.compile(a, laid.vars.get(f"{n}/arg"), laid.vars.get("?row"))
             c = fresh(n)
             aggs.append(v.col.alias(c))
-            cols[n] = Val(v.type, F.col(f"`{c}`"), v.extra)
-            if is_sure:
+            cols[n] = Val(v.type, F.col(f"`{c}`"), v.extra, made=v.made)
+            # In a group by keys there is a row, so the best of a variable that is never unbound is one.
+            if is_sure or g.keys and a.name in ("MIN", "MAX", "SAMPLE") and isinstance(a.arg, A.Var) and a.arg.name in rel.bound:
                 bound.add(n)
         names = [c for n in g.keys for c in [laid.df.columns[list(laid.vars).index(n)]]]
         if not aggs:

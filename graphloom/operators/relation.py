@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.values import NULL, Val, common, same
+from graphloom.functions.values import NULL, Val, common, meets
 
 _numbers = count()
 
@@ -44,7 +44,7 @@ def build(df: DataFrame, vals: dict[str, Val], bound=frozenset()) -> Rel:
     for n, v in vals.items():
         c = fresh(n)
         cols.append(v.col.alias(c))
-        out[n] = Val(v.type, F.col(f"`{c}`"), v.extra)
+        out[n] = Val(v.type, F.col(f"`{c}`"), v.extra, made=v.made)
     return Rel(df.select(*cols), out, frozenset(bound) & set(vals))
 
 
@@ -57,7 +57,7 @@ def union(rels: list[Rel]) -> Rel:
     for k, r in enumerate(rels):
         df = r.df.select(*(both[n][k].col.alias(cols[n]) for n in names))
         out = df if out is None else out.unionByName(df)
-    return Rel(out, {n: Val(both[n][0].type, F.col(f"`{cols[n]}`"), both[n][0].extra) for n in names}, bound)
+    return Rel(out, {n: Val(both[n][0].type, F.col(f"`{cols[n]}`"), both[n][0].extra, made=any(v.made for v in both[n])) for n in names}, bound)
 
 
 def compatible(l: Rel, r: Rel, names) -> Column:
@@ -67,7 +67,7 @@ def compatible(l: Rel, r: Rel, names) -> Column:
         a, b = l.value(n), r.value(n)
         if "null" in (a.type, b.type):
             continue
-        eq = same(a, b)
+        eq = meets(a, b)
         for side, v in ((l, a), (r, b)):
             if n not in side.bound:
                 eq = v.col.isNull() | eq
@@ -83,7 +83,10 @@ def _all_bound(rel: Rel, names) -> tuple[Rel, Rel | None]:
     ok = F.lit(True)
     for n in loose:
         ok = ok & rel.value(n).col.isNotNull()
-    return Rel(rel.df.filter(ok), rel.vars, rel.bound | set(loose)), rel.filter(~ok)
+    rest = rel.filter(~ok)
+    if len(loose) == 1:  # null in all rows of the rest, so that the others can be compared by equality
+        rest = Rel(rest.df, rest.vars | {loose[0]: NULL}, rest.bound)
+    return Rel(rel.df.filter(ok), rel.vars, rel.bound | set(loose)), rest
 
 
 def merged(l: Rel, r: Rel) -> dict[str, Val]:
@@ -96,7 +99,7 @@ def merged(l: Rel, r: Rel) -> dict[str, Val]:
             out[n] = r.vars[n]
         else:
             a, b = common([l.vars[n], r.vars[n]])
-            out[n] = Val(a.type, F.coalesce(a.col, b.col), a.extra)
+            out[n] = Val(a.type, F.coalesce(a.col, b.col), a.extra, made=a.made or b.made)
     return out
 
 
@@ -151,18 +154,32 @@ def without(l: Rel, r: Rel, condition=None, names=None) -> Rel:
 
 def semi(l: Rel, r: Rel, condition=None) -> Rel:
     """The rows of `l` that some row of `r` matches."""
-    shared, parts = _pairs(l, r)
-    if len(parts) == 1:
-        on = compatible(l, r, shared) if shared else F.lit(True)
+    shared, _ = _pairs(l, r)
+    if not shared and condition is None:
+        return Rel(l.df.join(r.df.limit(1).select(), F.lit(True), "left_semi"), l.vars, l.bound)
+    (lf, lr), (rf, rr) = _all_bound(l, shared), _all_bound(r, shared)
+
+    def met(a: Rel, b: Rel, kind: str = "left_semi") -> DataFrame:
+        on = compatible(a, b, shared)
         if condition is not None:
-            on = on & condition(merged(l, r))
-        elif not shared:
-            return Rel(l.df.join(r.df.limit(1).select(), F.lit(True), "left_semi"), l.vars, l.bound)
-        return Rel(l.df.join(r.df, on, "left_semi"), l.vars, l.bound)
-    on = compatible(l, r, shared)
-    if condition is not None:
-        on = on & condition(merged(l, r))
-    return Rel(l.df.join(r.df, on, "left_semi"), l.vars, l.bound)
+            on = on & condition(merged(a, b))
+        return a.df.join(b.df, on, kind)
+
+    out = met(lf, rf)
+    if rr is not None:  # rows that an all-bound row matched already aren't asked again
+        out = out.unionByName(met(Rel(met(lf, rf, "left_anti"), lf.vars, lf.bound), rr))
+    if lr is not None:
+        out = out.unionByName(met(lr, r))
+    return Rel(out, l.vars, l.bound)
+
+
+def lacking(l: Rel, r: Rel) -> Rel:
+    """The rows of `l` that aren't among those of `r`, which has the same variables; unbound is equal to unbound."""
+    on = F.lit(True)
+    for n in l.vars:
+        a, b = l.vars[n].col, r.vars[n].col
+        on = on & (a == b if n in l.bound else a.eqNullSafe(b))
+    return Rel(l.df.join(r.df, on, "left_anti"), l.vars, l.bound)
 
 
 def left_join(l: Rel, r: Rel, condition=None) -> Rel:
@@ -178,14 +195,15 @@ def left_join(l: Rel, r: Rel, condition=None) -> Rel:
     return union([join(l, r, condition), build(rest.df, rest.vars, rest.bound)])
 
 
-def minus(l: Rel, r: Rel) -> Rel:
-    """MINUS: a row goes if a row of `r` agrees with it and shares at least one bound variable."""
-    shared = [n for n in l.vars if n in r.vars and l.vars[n].type != "null" and r.vars[n].type != "null"]
+def minus(l: Rel, r: Rel, aside: str) -> Rel:
+    """MINUS: a row goes if a row of `r` agrees with it and shares at least one bound variable, other than those that begin with `aside`."""
+    shared = [n for n in l.vars if n in r.vars and l.vars[n].type != "null" and r.vars[n].type != "null" and not n.startswith(aside)]
     if not shared:
         return l
     if any(n in l.bound and n in r.bound for n in shared):
         return without(l, r)
 
+    # The values below are those of the parts that are being joined: a null column where a part has the variable unbound.
     def met(_) -> Column:
         out = F.lit(False)
         for n in shared:
