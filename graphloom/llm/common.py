@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.written import drop, shared_root
 
 #: Bytes of an Arrow batch and of a row group of what is written: a few of each are in memory at a time in every task.
-BATCH, ROW_GROUP = 4 << 20, 32 << 20
+BATCH, ROW_GROUP = 8 << 20, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word, special_strings
 from graphloom.llm.common import discard, in_arrow, materialize, small_batches, texts_of
 
-CAPACITY, END, TEXTS = 2048, 0, 3 << 20
+CAPACITY, END, TEXTS = 2048, 0, 8 << 20
 
 
 class WordEncoder:
