@@ -229,9 +229,22 @@ other-spdx|3|spdx|spdx licen[cs]e identifier [0-9a-z]+
 #: The base phrases of the contract.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 #: Every rule's match holds one of these letters or words; a text with none of them isn't looked at again.
-GATES = ["licen", "copyright", "permission", "redistribution", "advertising", "endorse", "warranty", "unencumbered", "public", "creative", "reserved", "proprietary", "freeware", "shareware", "apache", "clause"]
+GATES = ["licen", "attribution", "copyright", "permission", "redistribution", "advertising", "endorse", "warranty", "unencumbered", "public", "creative", "reserved", "proprietary", "freeware", "shareware", "apache", "clause"]
 GATE_WORDS = ["spdx", "gpl", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3", "gfdl", "0bsd", "mpl", "cddl", "sspl", "wtfpl", "eupl", "cecill", "eula", "odbl", "odc", "pddl", "cdla", "etalab", "openrail", "open", "gemma", "ofl", "historical", "mulan", "cc0", "cc"]
 
 
+#: SPDX identifiers that have no rule of their own above.
+SPDX = """
+AFL-1.2 AFL-2.1 AFL-3.0 APL-1.0 APSL-2.0 Artistic-1.0-Perl BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause-Patent BSD-3-Clause-LBNL BSL-1.1 CATOSL-1.1
+CC-PDDC CDLA-Permissive-1.0 CDLA-Permissive-2.0 CDLA-Sharing-1.0 CECILL-2.1 CECILL-B CECILL-C CERN-OHL-P-2.0 CERN-OHL-S-2.0 CERN-OHL-W-2.0 CNRI-Python
+CPAL-1.0 CUA-OPL-1.0 ECL-2.0 EFL-2.0 Elastic-2.0 Entessa ErlPL-1.1 EUDatagrid EUPL-1.1 Fair Frameworx-1.0 FSFAP FSFUL FTL HPND ICU IJG Imlib2 Intel IPA IPL-1.0 JSON
+Latex2e Libpng-2.0 LiLiQ-P-1.1 LiLiQ-R-1.1 LPL-1.02 LPPL-1.3c MirOS Motosoto MPL-1.0 MS-PL MS-RL MulanPSL-2.0 Multics NASA-1.3 Naumen NCSA NGPL Nokia NPOSL-3.0 NTP OCLC-2.0
+ODC-By-1.0 OFL-1.0 OGL-UK-3.0 OGTSL OLDAP-2.8 OpenSSL OSET-PL-2.1 OSL-1.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 QPL-1.0 RPL-1.5 RPSL-1.0 RSCPL Ruby
+SimPL-2.0 SISSL Sleepycat SPL-1.0 SSPL-1.0 TCL UCL-1.0 Unicode-3.0 Unicode-DFS-2016 UPL-1.0 Vim VSL-1.0 W3C Watcom-1.0 WTFPL X11 Xnet Zend-2.0 ZPL-2.1
+""".split()
+
+
 def rules() -> list[tuple[str, int, str, str]]:
-    return [(a, int(b), c, d) for a, b, c, d in (line.split("|", 3) for line in RULES.splitlines())]
+    """Those of RULES, and for each of SPDX one that needs the identifier's words."""
+    written = [(a, int(b), c, d) for a, b, c, d in (line.split("|", 3) for line in RULES.splitlines())]
+    return written + [(x.lower(), 1, "spdx", "spdx licen[cs]e identifier " + x.lower().replace("-", " ").replace(".", " ")) for x in SPDX]

@@ -5,7 +5,8 @@
 3. Every match is a detection with an interval. It is suppressed if another detection's interval contains it and has
    a better priority, or the same priority and a longer interval. Base phrases are never suppressed.
 
-All of it happens within a row: no shuffle, and nothing depends on how many documents share a licence.
+All of it happens within a row: no shuffle, and nothing depends on how many documents share a licence. Offsets are running sums
+and suppression is a sweep, both in blocks, so that a long text full of detections takes little more than its length.
 
 Nulls: a null text is empty: no words, no places, empty label strings, score 0. Rows with null or repeated ids are scanned like
 any others. An empty table gives no rows.
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrays import let, running
 from graphloom.llm.license_rules import BASE, GATE_WORDS, GATES, rules
 
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -46,32 +48,51 @@ def _starts(words: Column, phrase: str) -> Column:
 
 
 def _detections(norm: Column) -> Column:
+    """start, end, priority and label of every match of every rule whose keyword stands in `norm`."""
     table = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(f" {c}").alias("word"), F.lit(f"(?<= )(?:{d})(?= )").alias("pattern")) for a, b, c, d in rules()))
 
     def places(r: Column) -> Column:
         found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
-        between = F.split(norm, r["pattern"], -1)
-        sizes = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, y: a + F.char_length(y))
-        return F.transform(
-            found,
-            lambda m, i: F.struct(
-                (sizes(between, i + 1) + sizes(found, i)).alias("start"),
-                (sizes(between, i + 1) + sizes(found, i) + F.char_length(m)).alias("end"),
-                r["priority"].alias("priority"),
-                r["label"].alias("label"),
-            ),
-        )
+        # Each match with the length of what lies before it, back to the match before.
+        steps = F.zip_with(found, F.split(norm, r["pattern"], -1), lambda m, gap: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("size")))
+        moves = let(F.filter(steps, lambda x: x["size"].isNotNull()), lambda kept: F.zip_with(running(F.transform(kept, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, y: a + y), kept, one))
+
+        return F.transform(moves, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label")))
+
+    def one(end: Column, x: Column) -> Column:
+        return F.struct((end - x["size"]).alias("start"), end.alias("end"))
 
     return F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["word"])), places))
 
 
 def _kept(found: Column) -> Column:
-    def better(d: Column, e: Column) -> Column:
-        inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        return inside & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & longer))
+    """The detections that none suppresses, by a sweep.
+
+    They are sorted so that whatever contains a detection stands before it. Then the furthest end so far of each priority, and among
+    equal ends the earliest start, decide: both are one number, the end before 31 bits of how early the start is.
+    """
+    far = F.lit((1 << 31) - 1)
+    levels = range(1, len(SURE) + 1)
+
+    def reach(d: Column) -> Column:
+        code = F.shiftleft((-d["back"]).cast("long"), 31) + (far - d["start"])
+        return F.struct(*(F.when(d["priority"] == p, code).otherwise(F.lit(0).cast("long")).alias(f"p{p}") for p in levels))
+
+    def further(a: Column, b: Column) -> Column:
+        return F.struct(*(F.greatest(a[f"p{p}"], b[f"p{p}"]).alias(f"p{p}") for p in levels))
+
+    def stands(d: Column, upto: Column) -> Column:
+        own, out = F.shiftleft((-d["back"]).cast("long"), 31) + (far - d["start"]), F.lit(True)
+        for p in levels:
+            better = F.shiftright(upto[f"p{p}"], 31) >= -d["back"]
+            out = out & ~F.when(d["priority"] > p, better).when(d["priority"] == p, upto[f"p{p}"] > own).otherwise(F.lit(False))
+        return out
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: better(d, e)))
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"p{p}") for p in levels))
+    ordered = F.sort_array(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["label"].alias("label"))))
+    back = lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label"))
+    told = lambda all_: F.zip_with(all_, running(F.transform(all_, reach), zero, further), lambda d, upto: F.struct(stands(d, upto).alias("ok"), back(d).alias("d")))
+    return F.transform(F.filter(let(ordered, told), lambda x: x["ok"]), lambda x: x["d"])
 
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
