@@ -12,7 +12,7 @@ RUN = 64
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of `value`, which is computed once however often `body` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))  # a lambda: transform() counts parameters
 
 
 def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:

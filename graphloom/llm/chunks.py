@@ -80,23 +80,31 @@ class Memo:
 
     def get(self, pieces: list[str]) -> list[bytes]:
         known = list(map(self.held.get, pieces))
-        lacking = [k for k, v in enumerate(known) if v is None]
-        new = []
-        for k in lacking:
-            v = known[k] = self.older.get(pieces[k])
-            if v is None:
-                new.append(k)
-        for k, v in zip(new, self.make([pieces[k] for k in new])):
+        at = [k for k, v in enumerate(known) if v is None]
+        if not at:
+            return known
+        lacking = [pieces[k] for k in at]
+        found = list(map(self.older.get, lacking)) if self.older else [None] * len(lacking)
+        made = iter(self.make([x for x, v in zip(lacking, found) if v is None]))
+        found = [next(made) if v is None else v for v in found]
+        for k, v in zip(at, found):
             known[k] = v
-        for k in lacking:
-            if len(self.held) >= self.most or self.size >= self.room:
-                self.older, self.held, self.size = self.held, {}, 0
-            if len(pieces[k]) <= self.longest:
-                self.held[pieces[k]] = known[k]
-                self.size += len(pieces[k]) + len(known[k]) + 100
+        if len(self.held) + len(lacking) > self.most or self.size > self.room:
+            self.older, self.held, self.size = self.held, {}, 0
+        sizes = list(map(len, lacking))
+        if max(sizes) > self.longest:
+            lacking, found, sizes = zip(*((x, v, n) for x, v, n in zip(lacking, found, sizes) if n <= self.longest)) if min(sizes) <= self.longest else ((), (), ())
+        self.held.update(zip(lacking, found))
+        self.size += sum(sizes) + sum(map(len, found)) + 100 * len(sizes)
         return known
 
 
+def id_bytes(n: int, kind: str = "<u4") -> list[bytes]:
+    """The bytes of each id below `n`."""
+    every, width = np.arange(n, dtype=kind).tobytes(), np.dtype(kind).itemsize
+    return [every[at : at + width] for at in range(0, width * n, width)]
+
+
 def encode_batch(texts: list[str], mark: Callable[[str, str], str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """The ids (u32) of all texts one after another, and how many each has.
 

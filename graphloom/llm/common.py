@@ -77,7 +77,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 8
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], max_chars: int) -> list:
     """At most `most[y]` labelled training rows of class y, chosen by a hash of their doc_id.
 
-    Rows held out (crc32(doc_id) mod 3 = 1) and texts over `max_chars` are not learnt from. This is the bounded
+    Of a repeated doc_id one text is taken. Rows held out (crc32(doc_id) mod 3 = 1) and texts over `max_chars` are not learnt from. This is the bounded
     sample on which models are fitted; scoring covers whole texts of every length.
     """
     ids = labels.filter(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -87,29 +87,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[in
         one = ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         picked = one if picked is None else picked.unionByName(one)
     kept = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    got = kept.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # at most sum(most) ids
-    return sorted(got, key=lambda r: (r.doc_id, r.text))
+    # One text, the least, of each of at most sum(most) ids, however many rows repeat an id.
+    got = kept.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return sorted(got, key=lambda r: r.doc_id)
 
 
 def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def ordered_buckets(df: DataFrame, column: str, knots: int = 256) -> tuple[Column, int]:
-    """A bucket number for each row, ascending with `column` (an integer), and how many buckets there are: about sqrt(n).
+def ordered_buckets(df: DataFrame, column: str, spread: str, knots: int = 256) -> Column:
+    """A bucket number for each row, ascending with `column` (an integer; nulls first), about sqrt(n) buckets in all.
 
-    The knots are approximate quantiles; between two of them buckets have equal widths. Nulls are in bucket 0, before all.
+    The knots are approximate quantiles. Rows at a knot (a value with many rows is one) and rows without a value have buckets
+    of their own, as many as their number asks for, ascending with `spread` (a 64-bit hash); between knots buckets have equal widths.
+    So no value fills a bucket, unless its rows have one hash, too.
     """
-    got = df.agg(F.count("*").alias("n"), F.percentile_approx(column, [k / knots for k in range(knots + 1)], 10_000).alias("q")).first()
-    at_knots = sorted({int(x) for x in (got.q or [0])})
-    each = max(1, math.ceil(math.sqrt(got.n) / len(at_knots)))
-    bounds = F.array(*map(F.lit, at_knots))
+    got = df.agg(F.count("*").alias("n"), F.min(column).alias("first"), F.percentile_approx(column, [k / knots for k in range(knots + 1)], 10_000).alias("q")).first()
+    at = sorted({int(x) for x in [got[1], *got.q]}) if got.q else [0]
+    size = max(1, math.ceil(math.sqrt(got.n)))  # rows of a bucket, and number of buckets, aimed at
+    each = max(1, math.ceil(size / len(at)) - 1)
+    heavy = df.filter(F.col(column).isNull() | F.col(column).isin(at)).groupBy(F.col(column).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    many = {r.x: math.ceil(r.n / size) for r in heavy.collect()}  # a row for each knot at most
+    parts = [many.get(None, 1), *(many.get(x, 1) for x in at)]
+    bases, base = [], 0
+    for k, n in enumerate(parts):
+        bases.append(base)
+        base += n + (each if k else 0)
+    laid = lambda x: F.array(*map(F.lit, x))
     x = F.col(column)
-    k = F.greatest(F.size(F.filter(bounds, lambda b: b <= x)), F.lit(1))
-    low = F.element_at(bounds, k)
-    high = F.coalesce(F.get(bounds, k), low + 1)
+    k = F.when(x.isNull(), F.lit(0)).otherwise(F.greatest(F.size(F.filter(laid(at), lambda b: b <= x)), F.lit(1)))
+    low = F.element_at(laid(at), F.greatest(k, F.lit(1)))
+    high = F.coalesce(F.get(laid(at), k), low + 1)
     inner = F.least(F.greatest(F.floor((x - low) / (high - low) * each), F.lit(0)), F.lit(each - 1))
-    return F.when(x.isNull(), F.lit(0)).otherwise(k * each + inner).cast("long"), (len(at_knots) + 1) * each
+    share = F.shiftrightunsigned(F.col(spread).bitwiseXOR(F.lit(-(1 << 63))), 33)
+    own = F.shiftright(share * F.get(laid(parts), k), 31)
+    return (F.get(laid(bases), k) + F.when(x.isNull() | (x == low), own).otherwise(F.get(laid(parts), k) + inner)).cast("long")
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """`rows` with the columns of `known`, which has one row for each key and in `n` how many of `rows` have it; `n` isn't kept.
+
+    Keys with over a `parts`-th of all rows, fewer than `parts` of them, are broadcast, so that their rows stay where they are.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    much = F.col("n") * parts > total
+    hot, rest = known.filter(much).drop("n"), known.filter(~much).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

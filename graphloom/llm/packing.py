@@ -22,7 +22,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Memo, byte_level, encode_batch, looks, plain_word, special_strings
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, id_bytes, looks, plain_word, special_strings
 from graphloom.llm.common import discard, in_arrow, materialize, small_batches, texts_of
 
 CAPACITY, END, TEXTS = 2048, 0, 8 << 20
@@ -50,19 +49,21 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = plain
         self.special = [] if plain else special_strings(self.tokenizer)
         self.model = self.tokenizer.model
+        self.code = id_bytes(self.tokenizer.get_vocab_size())
         self.memo = Memo(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Plain words go to the library's model directly: nothing else would change or cut them."""
-        out, model, whole = [], self.model.tokenize, self.tokenizer.encode
+        out, model, whole, code, put = [], self.model.tokenize, self.tokenizer.encode, self.code, b"".join
         for x in pieces:
-            if x.isascii() and x.isalpha():
-                ids = [t.id for t in model(x.lower())]
+            if x.isalpha() and x.isascii():
+                got = model(x.lower())
             elif plain_word(x):
-                ids = [t.id for t in model(byte_level(x.lower()))]
+                got = model(byte_level(x.lower()))
             else:
-                ids = whole(x, add_special_tokens=False).ids
-            out.append(array("I", ids).tobytes())
+                out.append(put([code[i] for i in whole(x, add_special_tokens=False).ids]))
+                continue
+            out.append(code[got[0].id] if len(got) == 1 else put([code[t.id] for t in got]))
         return out
 
     def _mark(self, text: str, sep: str) -> str:

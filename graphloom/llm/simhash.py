@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, in_arrow, materialize, rows_of, small_batches
+from graphloom.llm.common import connected_components, in_arrow, join_hot, materialize, rows_of, small_batches
 from graphloom.llm.likeness import meetings, sets, signatures, similar_links
 
 SHINGLE, SEED, BLOCKS, MAX_BITS, CELL = 3, 42, 6, 3, 2048
@@ -140,19 +140,19 @@ def near_links(distinct: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS,
 
 
 def classes(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, first): of each of the distinct `reps` (fp, first), the smallest `first` (nulls aside) of its component."""
+    """(fp, first, n): of each of the distinct `reps` (fp, first, n), the smallest `first` (nulls aside) of its component."""
     roots = connected_components(links)
-    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("first"), "n")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of `docs`."""
     fps = materialize(fingerprints(docs.select("doc_id", "text")), "fps")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
-    known = classes(reps, near_links(reps.select("fp")))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "reps")
+    known = materialize(classes(reps, near_links(reps.select("fp"))), "classes")
+    return join_hot(fps, known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     spare = F.xxhash64("text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")
     signed = materialize(signatures(docs.select("doc_id", spare.alias("spare"), "text")).withColumn("rank", rank), "signed")
-    reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
+    reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
     marked = docs.withColumn("__spare", spare)
 
     def rows_in(keys: DataFrame) -> DataFrame:
@@ -173,6 +173,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     met = materialize(meetings(reps), "met")
     crowded = reps.join(met.select("fp").distinct(), "fp", "left_semi")
     links = similar_links(met, materialize(sets(rows_in(crowded)), "sets"))
-    known = classes(reps.select("fp", "first"), links)
-    kept = signed.join(known, "fp").filter(F.col("rank") == F.col("first"))
+    known = classes(reps.select("fp", "first", "n"), links)
+    # The row that stays is the first of some set, so the sets are enough to find it.
+    kept = known.select("first").distinct()
     return rows_in(kept).dropDuplicates(["doc_id", "__spare"]).drop("__spare")

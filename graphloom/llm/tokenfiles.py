@@ -18,7 +18,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.chunks import Memo, byte_level, encode_batch, marked, plain_word, special_strings, splitter
+from graphloom.llm.chunks import Memo, byte_level, encode_batch, id_bytes, marked, plain_word, special_strings, splitter
 from graphloom.llm.common import discard, in_arrow, materialize, ordered_buckets, shared_path, small_batches, texts_of
 
 MAGIC, HEAD, FILE_IDS = b"GLTOKEN1", struct.Struct("<8sIQQQ"), 4_000_000
@@ -70,20 +69,22 @@ class Encoder:
         self.special = [] if plain else special_strings(self.tokenizer)
         self.pattern = splitter(PATTERN)
         self.model = self.tokenizer.model
+        self.code = id_bytes(self.tokenizer.get_vocab_size())
         self.memo = Memo(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Plain words with the space before them go to the library's model directly: it cuts them nowhere else."""
-        out, model, whole = [], self.model.tokenize, self.tokenizer.encode
+        out, model, whole, code, put = [], self.model.tokenize, self.tokenizer.encode, self.code, b"".join
         for x in pieces:
             word = x[1:] if x[:1] == " " else x
-            if word.isascii() and word.isalpha():
-                ids = [t.id for t in model(x if word is x else "\u0120" + word)]  # U+0120 stands for a space
+            if word.isalpha() and word.isascii():
+                got = model(x if word is x else "\u0120" + word)  # U+0120 stands for a space
             elif plain_word(word):
-                ids = [t.id for t in model(byte_level(x))]
+                got = model(byte_level(x))
             else:
-                ids = whole(x, add_special_tokens=False).ids
-            out.append(array("I", ids).tobytes())
+                out.append(put([code[i] for i in whole(x, add_special_tokens=False).ids]))
+                continue
+            out.append(code[got[0].id] if len(got) == 1 else put([code[t.id] for t in got]))
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,7 @@ class Encoder:
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, ids (the end id last; in two little-endian bytes each where the vocabulary allows, else four)."""
+    """doc_id, bucket, ids (the end id last; in two little-endian bytes each where the vocabulary allows, else four)."""
     kind = id_type(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +105,9 @@ def encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             all_, lengths = encoder.encode(texts_of(batch, 1))
             all_ = all_.astype(kind)
             ids = pa.array([all_[b - n : b].tobytes() + last for b, n in zip(np.cumsum(lengths), lengths)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], names=["doc_id", "bucket", "ids"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, ids binary")
+    return in_arrow(docs.select("doc_id", "text", "bucket"), run, "doc_id bigint, bucket bigint, ids binary")
 
 
 def id_type(tokenizer: str, end: int) -> str:
@@ -173,8 +174,8 @@ def write_files(docs: DataFrame, root: str, tokenizer: str, end: int, file_ids:
     """Encode `docs` and write the files below `root`; returns the manifest (file, docs, ids, start)."""
     spark = docs.sparkSession
     kind = id_type(tokenizer, end)
-    bucket, _ = ordered_buckets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id")
-    encoded = materialize(encode(docs, tokenizer, end).withColumn("bucket", bucket), "ids")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    encoded = materialize(encode(keyed.withColumn("bucket", ordered_buckets(keyed, "doc_id", "h")), tokenizer, end), "ids")
     counts = id_counts(encoded, kind).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
     by_rank = np.array([r.id for r in counts], dtype="<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
