@@ -1,17 +1,19 @@
 """Quality by compression: zstandard dictionaries built from good and from bad labelled text.
 
-A text is compressed with either dictionary; the difference of the two sizes, divided by their sum, says which side it resembles. A
-logistic curve, fitted on labelled rows that the dictionaries have not seen, turns that into a score. Next to the
-difference (and its excess over 0.05) it takes the text's own compression ratio, how far it compresses with its best
-dictionary against by itself, since repeated junk compresses well with either, and the logarithm of its length.
+Either side has SIDES dictionaries. Its texts are dealt to them, a dictionary is trained on those dealt to it, and each text goes to the
+one that compresses it best, ROUNDS times over: so they come to stand for kinds of text, such as languages. A text's size on a
+side is the least that one of its dictionaries compresses it to; the difference of the two sizes, divided by their sum, says which
+side it resembles. A logistic curve of that difference and nothing else, fitted on labelled rows that the dictionaries have not seen,
+makes it the score.
 
 Fitting uses a bounded sample: PER_CLASS rows of each class of at most MAX_CHARS characters, none held out. By a hash
-of their texts, half of them make the dictionaries, half fit the curve. A dictionary has DICTIONARY bytes; every text
-of its half gives an equal share from its middle, of which longer texts take what shorter ones leave. Scoring
+of their texts, half of them make the dictionaries, half fit the curve. A dictionary has DICTIONARY bytes and is trained on
+whole texts; where too few are dealt to it, it is made of equal shares from the middles of its texts. Scoring
 compresses whole texts of any length in pieces of PIECE bytes, of which the sizes add up.
 
 Nulls: null and empty texts have difference zero and get the curve's value there. Without rows of both classes
-the score is 0.5 for every text. Rows with a null or repeated doc_id are scored like any others. An empty table gives no rows.
+the score is 0.5 for every text. Rows with a null or repeated doc_id are scored like any others; of a repeated doc_id one text is
+learnt from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,53 +29,64 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import held_out, in_arrow, rows_of, small_batches, training_rows
 
-PER_CLASS, MAX_CHARS, DICTIONARY, LEVEL, PIECE, SEED = 3000, 10_000, 110_000, 3, 1 << 17, 42
-DIMS = 6
+PER_CLASS, MAX_CHARS, DICTIONARY, SIDES, ROUNDS, LEVEL, PIECE, SEED = 3000, 10_000, 16_000, 6, 4, 3, 1 << 17, 42
 
 
 class Model:
-    """Two dictionaries and a fitted curve; a few hundred kilobytes."""
+    """Dictionaries of the good and the bad side and a fitted curve; a few hundred kilobytes."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray):
+    def __init__(self, good: list[bytes], bad: list[bytes], weights: np.ndarray):
         self.good, self.bad, self.weights = good, bad, weights
 
-    def __getstate__(self):
-        return self.good, self.bad, self.weights
+    def sides(self) -> tuple[list[zstandard.ZstdCompressor], list[zstandard.ZstdCompressor]]:
+        return [_compressor(d) for d in self.good], [_compressor(d) for d in self.bad]
 
-    def __setstate__(self, state):
-        self.good, self.bad, self.weights = state
+    def score(self, differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_terms(differences) @ self.weights, -30, 30)))
 
-    def sides(self) -> list[zstandard.ZstdCompressor]:
-        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None for d in (self.good, self.bad, b"")]
-        params = dict(level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
-        for d in made[:2]:
-            if d:
-                d.precompute_compress(level=LEVEL)
-        return [zstandard.ZstdCompressor(dict_data=d, **params) if d else zstandard.ZstdCompressor(**params) for d in made]
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    made = zstandard.ZstdCompressionDict(dictionary)
+    made.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def features(texts: list[bytes], sides: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """Per text: 1, the normalised difference, its excess beyond either side, and how far the text compresses."""
-    out = np.zeros((len(texts), DIMS))
-    out[:, 0] = 1
+def _size(text: bytes, by: zstandard.ZstdCompressor) -> int:
+    return sum(len(by.compress(text[at : at + PIECE])) for at in range(0, len(text), PIECE))
+
+
+def differences(texts: list[bytes], sides: tuple[list[zstandard.ZstdCompressor], list[zstandard.ZstdCompressor]]) -> np.ndarray:
+    """For each text (least size on the bad side - least size on the good side) / their sum; 0 for an empty one."""
+    out = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        if not text:
-            continue
-        size = [0, 0, 0]
-        for at in range(0, len(text), PIECE):
-            part = text[at : at + PIECE]
-            for s, side in enumerate(sides):
-                size[s] += len(side.compress(part))
-        good, bad, own = size
-        d = (bad - good) / (bad + good)
-        packed = own / len(text)
-        out[k, 1:] = 10 * d, 10 * max(0.0, d - 0.05), np.log(packed + 0.01), min(good, bad) / own, np.log(len(text)) / 10
+        if text and sides[0]:
+            good, bad = (min(_size(text, c) for c in side) for side in sides)
+            out[k] = (bad - good) / (bad + good)
     return out
 
 
+def _terms(differences: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(differences)), 10 * differences], 1)
+
+
+def _trained(texts: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(DICTIONARY, texts).as_bytes() if len(texts) > 20 else _dictionary(texts, DICTIONARY)
+    except zstandard.ZstdError:  # too little text
+        return _dictionary(texts, DICTIONARY)
+
+
+def build(texts: list[bytes], sides: int = SIDES, rounds: int = ROUNDS) -> list[bytes]:
+    """The dictionaries of one side."""
+    parts = [p for p in (texts[k::sides] for k in range(sides)) if p]
+    made = [_trained(p) for p in parts]
+    for _ in range(rounds):
+        by = [_compressor(d) for d in made]
+        best = np.argmin([[_size(t, c) for c in by] for t in texts], axis=1)
+        made = [_trained(p) for p in ([t for t, b in zip(texts, best) if b == k] for k in range(len(made))) if p]
+    return made
+
+
 def _dictionary(texts: list[bytes], size: int) -> bytes:
     """The middle of every text, `size` bytes in all, as the raw content of a dictionary; what short texts leave goes to longer ones."""
     parts, left = [b""] * len(texts), size
@@ -101,15 +114,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     rows = training_rows(docs, labels, "quality", (per_class, per_class), max_chars)
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(r.text.encode(), SEED))  # the halves below don't follow doc_id
-    texts, y = [r.text.encode() for r in rows], np.array([r.y for r in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Model(b"", b"", np.zeros(DIMS))
-    split = [[t for t, v in zip(texts, y) if v == side] for side in (1, 0)]
-    half = [t[: len(t) // 2] for t in split]
-    model = Model(*(_dictionary(t, DICTIONARY) for t in half), np.zeros(DIMS))
-    rest = [t[len(t) // 2 :] for t in split]
-    x = features(rest[0] + rest[1], model.sides())
-    model.weights = _logistic(x, np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1])))
+    split = [[r.text.encode() for r in rows if r.y == side and r.text] for side in (1, 0)]
+    if not all(split):
+        return Model([], [], np.zeros(2))
+    model = Model(*(build(t[: (len(t) + 1) // 2]) for t in split), np.zeros(2))
+    rest = [t[(len(t) + 1) // 2 :] or t for t in split]
+    x = differences(rest[0] + rest[1], model.sides())
+    model.weights = _logistic(_terms(x), np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1])))
     return model
 
 
@@ -121,7 +132,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = model.sides()
         for batch in small_batches(batches, len(kept), 1 << 20):
-            s = model.score(features(rows_of(batch, len(kept)), sides))
+            s = model.score(differences(rows_of(batch, len(kept)), sides))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s)], names=[*kept, name])
 
     return in_arrow(docs.select(*kept, "text"), run, schema)
@@ -142,6 +153,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = model.sides()
         for batch in small_batches(batches, at, 1 << 20):
-            yield batch.filter(pa.array(model.score(features(rows_of(batch, at), sides)) >= threshold))
+            yield batch.filter(pa.array(model.score(differences(rows_of(batch, at), sides)) >= threshold))
 
     return in_arrow(docs, run, docs.schema)
