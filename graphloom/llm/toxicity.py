@@ -15,7 +15,7 @@ Fitting uses a bounded sample (MOST clean and toxic rows of at most MAX_CHARS ch
 covers whole texts.
 
 Nulls: null and empty texts have no words and get the calibrated score of no evidence. Without rows of both classes every
-score is 0. Rows with a null or repeated doc_id are scored like any others. An empty table gives no rows.
+score is 0. Rows with a null or repeated doc_id are scored like any others; of a repeated doc_id one text is learnt from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -206,16 +206,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST, max_ch
 
 
 def spans_of(text: str, toxic: np.ndarray, least: float = SPAN) -> list[tuple[int, int]]:
-    """Character offsets (begin, end) of runs of words with a marginal of at least `least`, in the text lower-cased."""
+    """Character offsets (begin, end) in `text` of runs of words with a marginal of at least `least`."""
     out: list[tuple[int, int]] = []
-    before = -2
-    for k, m in enumerate(WORD.finditer(text.lower())):
+    low, before = text.lower(), -2
+    for k, m in enumerate(WORD.finditer(low)):
         if toxic[k] >= least:
             if before == k - 1:
                 out[-1] = (out[-1][0], m.end())
             else:
                 out.append((m.start(), m.end()))
             before = k
+    if len(low) != len(text):  # a few letters have lower cases of two characters
+        whose = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        out = [(int(whose[a]), int(whose[b - 1]) + 1) for a, b in out]
     return out
 
 
