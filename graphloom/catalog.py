@@ -5,12 +5,17 @@ Names, then SPARQL (prefix : is <urn:t:>), then SQL. SQL None: random or time-de
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.engine import Engine
-from graphloom.sources.mapped import warehouse
+from graphloom.operators.written import shared_root
+from graphloom.sources.mapped import MappedSource, warehouse
+from graphloom.sources.quads import QuadTableSource
+from graphloom.store import Store
+from graphloom.terms import IRI, Literal, term_of
 
 PREFIXES = {"": "urn:t:", "g": "urn:g:", "xsd": "http://www.w3.org/2001/XMLSchema#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
 CATALOG: dict[str, tuple[str, str | None]] = {}
@@ -183,7 +188,67 @@ add("wind_like_3", "SELECT ?e ?y ?mo ?d ?h ?b (ROUND(AVG(?v) * 1000) / 1000 AS ?
 add("wind_like_4", "SELECT ?u (COUNT(DISTINCT ?e) AS ?k) WHERE { ?x :events_user_id ?u ; :events_event_type ?e } GROUP BY ?u HAVING(COUNT(DISTINCT ?e) > 3)", "SELECT user_id AS u, count(DISTINCT event_type) AS k FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 3")
 
 
+# Over the tables as quads: the store's path. Names, SPARQL, SQL as above; all results are text.
+QUADS: dict[str, tuple[str, str | None]] = {}
+QUAD_TABLES = ("region", "nation", "customer", "supplier", "orders")
+
+
+def add_quads(name: str, sparql: str, sql: str) -> None:
+    QUADS[name] = (sparql, sql)
+
+
+add_quads("quads_star", "SELECT ?n ?m WHERE { ?c :c_name ?n ; :c_mktsegment ?m ; a :customer }", "SELECT c_name AS n, c_mktsegment AS m FROM customer")
+add_quads("quads_constant", "SELECT ?p ?o WHERE { <urn:t:nation/4> ?p ?o }", "SELECT unnest(['urn:t:n_nationkey','urn:t:n_name','urn:t:n_regionkey','http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest([CAST(n_nationkey AS VARCHAR), n_name, 'urn:t:region/' || n_regionkey, 'urn:t:nation']) AS o FROM nation WHERE n_nationkey = 4")
+add_quads("quads_join", "SELECT ?r (COUNT(*) AS ?n) WHERE { ?o :o_custkey ?c . ?c :c_nationkey ?k . ?k :n_regionkey/:r_name ?r } GROUP BY ?r", "SELECT r_name AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+add_quads("quads_filter", "SELECT ?c WHERE { ?c :c_acctbal ?b . FILTER(?b > 9000 && ?b <= 9500) }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 9000 AND c_acctbal <= 9500")
+add_quads("quads_bind", "SELECT ?k ?d WHERE { ?n :n_nationkey ?k . BIND(?k * 2 + 1 AS ?d) FILTER(?d > 20) }", "SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_nationkey * 2 + 1 AS VARCHAR) AS d FROM nation WHERE n_nationkey * 2 + 1 > 20")
+add_quads("quads_optional", "SELECT ?n ?x WHERE { ?k :n_name ?n . OPTIONAL { ?s :s_nationkey ?k ; :s_name ?x ; :s_acctbal ?b . FILTER(?b > 8000) } }", "SELECT n_name AS n, s_name AS x FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 8000")
+add_quads("quads_union", "SELECT ?n WHERE { { ?c :c_name ?n } UNION { ?s :s_name ?n } }", "SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier")
+add_quads("quads_minus", "SELECT ?n WHERE { ?k :n_name ?n MINUS { ?s :s_nationkey ?k } }", "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+add_quads("quads_exists", "SELECT ?n WHERE { ?c :c_name ?n ; :c_acctbal ?b . FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?p . BIND(?b * 40 AS ?f) FILTER(?p > ?f && ?f > 0) } }", "SELECT c_name AS n FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)")
+add_quads("quads_path_plus", "SELECT ?x WHERE { <urn:t:customer/7> (:c_nationkey|:n_regionkey)+ ?x }", "SELECT 'urn:t:nation/' || c_nationkey AS x FROM customer WHERE c_custkey = 7 UNION SELECT 'urn:t:region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7")
+add_quads("quads_group", "SELECT ?m (COUNT(DISTINCT ?k) AS ?n) (MIN(?x) AS ?lo) WHERE { ?c :c_mktsegment ?m ; :c_nationkey ?k ; :c_custkey ?x } GROUP BY ?m HAVING(COUNT(*) > 1)", "SELECT c_mktsegment AS m, count(DISTINCT c_nationkey) AS n, CAST(min(c_custkey) AS VARCHAR) AS lo FROM customer GROUP BY 1 HAVING count(*) > 1")
+add_quads("quads_order", "SELECT ?x WHERE { ?c :c_custkey ?x } ORDER BY DESC(?x) LIMIT 7", "SELECT CAST(c_custkey AS VARCHAR) AS x FROM customer ORDER BY c_custkey DESC LIMIT 7")
+add_quads("quads_term_order", "SELECT ?v WHERE { { SELECT ?v WHERE { VALUES ?v { 'b' <urn:x> 7 UNDEF } } ORDER BY ?v LIMIT 2 } }", "SELECT NULL AS v UNION ALL SELECT 'urn:x'")
+add_quads("quads_blank_node", "SELECT ?n WHERE { [] :n_regionkey <urn:t:region/1> ; :n_name ?n }", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
+add_quads("quads_describe", "DESCRIBE <urn:t:region/2>", "SELECT 'urn:t:region/2' AS subject, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS predicate, 'urn:t:region' AS object")
+add_quads("store_load", "SELECT ?p (COUNT(*) AS ?n) (COUNT(DISTINCT ?o) AS ?d) WHERE { ?s ?p ?o } GROUP BY ?p", "SELECT unnest(['urn:t:r_regionkey','urn:t:r_name','http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, count(*) AS n, unnest([count(DISTINCT r_regionkey), count(DISTINCT r_name), 1]) AS d FROM region")
+add_quads("store_changes", "SELECT ?s ?o WHERE { ?s :r_name ?o }", "SELECT 'urn:t:region/' || r_regionkey AS s, r_name AS o FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 'urn:t:region/' || n, 'new ' || n FROM range(100, 106) t(n) WHERE n <> 105")
+
+
+def quads_of(spark: SparkSession, folder: str, tables: tuple[str, ...] = QUAD_TABLES) -> DataFrame:
+    whole = warehouse(spark, folder)
+    return MappedSource(spark, [whole.tables[t] for t in tables]).quads()
+
+
+def _written(spark: SparkSession, folder: str) -> Store:
+    """A store of QUAD_TABLES, written once for each session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        path = f"{shared_root(spark)}/graphloom/quads-{uuid.uuid4().hex}"
+        Store(spark, quads_of(spark, folder)).write_parquet(path)
+        _STORES[key] = path
+    return Store.read_parquet(spark, _STORES[key])
+
+
+def _store(spark: SparkSession, folder: str, name: str) -> Engine:
+    """The region table written as lines, loaded into a store and, for store_changes, changed quad by quad."""
+    path = f"{shared_root(spark)}/graphloom/store-{uuid.uuid4().hex}"
+    Store(spark, quads_of(spark, folder, ("region",))).write_lines(path)
+    store = Store(spark)
+    store.load_path(path, "nq")
+    if name == "store_changes":
+        node = lambda k: IRI(f"urn:t:region/{k}")
+        for k in range(100, 106):
+            store.insert((None, node(k), IRI("urn:t:r_name"), Literal(f"new {k}")))
+        first = store.matching(node(0), IRI("urn:t:r_name")).first()
+        for quad in ((None, node(0), IRI("urn:t:r_name"), term_of(first["object"])), (None, node(105), IRI("urn:t:r_name"), Literal("new 105"))):
+            store.remove(quad)
+    return store.engine
+
+
 _ENGINES: dict[tuple[str, str], Engine] = {}
+_STORES: dict[tuple[str, str], str] = {}
 
 
 def engine(spark: SparkSession, folder: str) -> Engine:
@@ -198,11 +263,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(text: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: engine(spark, folder).query(text, native=True)
 
-    return {name: run(text) for name, (text, _) in CATALOG.items()}
+    def over_quads(name: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+        def go(spark: SparkSession, folder: str) -> DataFrame:
+            e = _store(spark, folder, name) if name.startswith("store_") else _written(spark, folder).engine
+            e.prefixes = PREFIXES
+            return e.query(text, native=True)
+
+        return go
+
+    return {name: run(text) for name, (text, _) in CATALOG.items()} | {name: over_quads(name, text) for name, (text, _) in QUADS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOG.items() if sql is not None}
+    return {name: sql for name, (_, sql) in (CATALOG | QUADS).items() if sql is not None}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,17 @@ from graphloom.terms import RDF_TYPE, IRI, BNode, term_column
 TRIPLE = ("subject", "predicate", "object")
 
 
+@dataclass(frozen=True)
+class Explanation:
+    """Seconds of planning, the algebra, and Spark's plan as analysed, optimised and chosen."""
+
+    seconds: float
+    algebra: object
+    logical: str
+    optimized: str
+    physical: str
+
+
 class Engine:
     """Queries over one source.
 
@@ -56,6 +69,14 @@ class Engine:
         df = self.query(text)
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
+    def explanation(self, text: str) -> Explanation:
+        """The stages of planning a query and how long they took; closures run while a query is planned."""
+        began = time.perf_counter()
+        q = self.parse(text)
+        run = self.query(q)._jdf.queryExecution()
+        plans = [run.analyzed().toString(), run.optimizedPlan().toString(), run.executedPlan().toString()]
+        return Explanation(time.perf_counter() - began, q.pattern, *plans)
+
     @staticmethod
     def _native(v: Val) -> Column:
         if v.type == "dateTime":

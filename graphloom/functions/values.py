@@ -303,6 +303,33 @@ def ebv(v: Val) -> Column:
     return F.lit(None).cast("boolean")
 
 
+#: Days from which months are counted to compare durations: those of the XML Schema recommendation.
+_FROM = ("1696-09-01", "1697-02-01", "1903-03-01", "1903-07-01")
+_DURATION = r"^-?P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d*)?)S)?)?$"
+
+
+def duration(v: Val) -> tuple[Column, Column] | None:
+    """A duration as (months, seconds)."""
+    if v.type != "term":
+        return None
+    ok = (v.col["kind"] == 2) & v.col["dt"].isin(*(XSD + x for x in ("duration", "yearMonthDuration", "dayTimeDuration"))) & v.col["lex"].rlike(_DURATION)
+    lex = F.when(ok, v.col["lex"])
+    sign = F.when(lex.startswith("-"), -1).otherwise(1)
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(lex, _DURATION, k), F.lit("")).try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    months = F.when(ok, sign * (part(1) * 12 + part(2))).try_cast("int")
+    return months, F.when(ok, sign * (part(3) * 86400 + part(4) * 3600 + part(5) * 60 + part(6))).try_cast("decimal(24,6)")
+
+
+def _durations(m: tuple[Column, Column], n: tuple[Column, Column], op: str) -> Column:
+    """A partial order: months have no fixed length, so both are added to several days, and `<` is null where these disagree."""
+    known = m[0].isNotNull() & m[1].isNotNull() & n[0].isNotNull() & n[1].isNotNull()
+    if op == "=":
+        return F.when(known, (m[0] == n[0]) & (m[1] == n[1]))
+    at = lambda x, d: F.datediff(F.add_months(F.lit(d).cast("date"), x[0]), F.lit(d).cast("date")).cast("decimal(24,6)") * 86400 + x[1]
+    less = [at(m, d) < at(n, d) for d in _FROM]
+    return F.when(known, F.when(less[0] & less[1] & less[2] & less[3], True).when(~(less[0] | less[1] | less[2] | less[3]), False))
+
+
 def compare(a: Val, b: Val, op: str) -> Column:
     """`=` or `<` by value; null where the values can't be compared."""
     hit = (lambda x, y: x == y) if op == "=" else (lambda x, y: x < y)
@@ -348,6 +375,9 @@ def compare(a: Val, b: Val, op: str) -> Column:
     f, g = day(a), day(b)
     if f is not None and g is not None:
         out.append(hit(f, g))
+    u, v = duration(a), duration(b)
+    if u and v:
+        out.append(_durations(u, v, op))
     if op == "=":
         x, y = to_term(a), to_term(b)
         out.append(F.when(x == y, True).when((x["kind"] != 2) | (y["kind"] != 2), False))
@@ -367,5 +397,6 @@ def sort_key(v: Val) -> Column:
         F.when(c.isNull(), 0).when(c["kind"] == 1, 1).when(c["kind"] == 0, 2).when(truth(v).isNotNull(), 3).when(n.rank.isNotNull(), 4)
         .when(s.lex.isNotNull(), 5).when(d[0].isNotNull(), 6).when(day(v).isNotNull(), 8).when(c["dt"].isin(*[XSD + x for x in (*NUMERIC, *INTEGERS, "boolean", "dateTime", "date")]), 0).otherwise(other)
     )
-    value = F.coalesce(n.real, truth(v).cast("int").cast("double"), F.unix_micros(d[0]).cast("double"), F.unix_date(day(v)).cast("double"))
+    span = duration(v)
+    value = F.coalesce(n.real, truth(v).cast("int").cast("double"), F.unix_micros(d[0]).cast("double"), F.unix_date(day(v)).cast("double"), span[0] * 2_629_746.0 + span[1].cast("double"))
     return F.struct(rank.alias("rank"), value.alias("num"), c["lex"].alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -43,8 +44,8 @@ def description() -> str:
     return f"@prefix sd: <{sd}> .\n[] a sd:Service ;\n  sd:endpoint <{BASE}> ;\n  sd:supportedLanguage sd:SPARQL11Query ;\n  sd:resultFormat {out} .\n"
 
 
-def answer(store: Store, text: str, accept: str, default: list[str] = (), named: list[str] = ()) -> tuple[int, str, str]:
-    """Status, media type and body."""
+def answer(store: Store, text: str, accept: str, default: list[str] = (), named: list[str] = ()) -> tuple[int, str, str | Iterator[str]]:
+    """Status, media type and body; a result comes in pieces, so that no more than some rows are in the driver at a time."""
     engine = store.engine
     engine.base = engine.base or BASE
     try:
@@ -60,33 +61,44 @@ def answer(store: Store, text: str, accept: str, default: list[str] = (), named:
     media, form = chosen
     df = engine.query(q)
     if q.form == "SELECT":
-        return 200, media, "".join(results.write_solutions(list(df.columns), results.solutions(df), form))
+        return 200, media, results.write_solutions(list(df.columns), results.solutions(df), form)
     if q.form == "ASK":
         return 200, media, results.write_boolean(bool(df.first()[0]), form)
     triples = ((None, *map(term_of, r)) for r in df.toLocalIterator())
-    return 200, media, "".join(rdfio.serialize(triples, form))
+    return 200, media, rdfio.serialize(triples, form)
 
 
 def make_server(store: Store, host: str = "localhost", port: int = 7878, cors: bool = False) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
-        def send(self, status: int, kind: str, body: str) -> None:
-            data = body.encode()
+        def send(self, status: int, kind: str, body: str | Iterator[str]) -> None:
+            """Text has a length; pieces end with the connection. The first is made before the status is sent."""
+            pieces = iter([body] if isinstance(body, str) else body)
+            first = next(pieces, "")
             self.send_response(status)
             self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(data)))
+            if isinstance(body, str):
+                self.send_header("Content-Length", str(len(body.encode())))
+            else:
+                self.send_header("Connection", "close")
             if cors:
                 self.send_header("Access-Control-Allow-Origin", "*")
             self.end_headers()
-            self.wfile.write(data)
+            self.begun = True
+            self.wfile.write(first.encode())
+            for piece in pieces:
+                self.wfile.write(piece.encode())
 
         def run(self, params: dict[str, list[str]]) -> None:
-            text = params.get("query", [""])[0]
+            text, self.begun = params.get("query", [""])[0], False
             if not text:
                 self.send(200, "text/turtle", description())
                 return
             try:
                 self.send(*answer(store, text, self.headers.get("Accept", ""), params.get("default-graph-uri", []), params.get("named-graph-uri", [])))
             except Exception as e:  # a failed query must not end the server
+                if self.begun:
+                    self.close_connection = True
+                    return
                 self.send(500, "text/plain", str(e)[:2000])
 
         def do_GET(self) -> None:

@@ -11,7 +11,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.engine import Engine
+from graphloom.engine import Engine, Explanation
+from graphloom.operators.written import write
 from graphloom.sources import rdfio
 from graphloom.sources.quads import QuadTableSource
 from graphloom.sources.rdfio import Quad
@@ -29,12 +30,43 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 class Store:
+    """Single changes are kept aside and laid over the quads in one step, so that plans don't grow with their number; many are written."""
+
+    #: Single changes kept aside, and changes of whole frames planned on top of each other, before all is written anew.
+    ASIDE, DEPTH = 10_000, 16
+
     def __init__(self, spark: SparkSession, quads: DataFrame | None = None, union_default: bool = False, base: str | None = None):
         self.spark, self.union_default, self.base = spark, union_default, base
+        self._depth = 0
         self.quads = spark.createDataFrame([], QUADS) if quads is None else quads.select(*COLUMNS).dropDuplicates()
         self.names: set[str] = set()
         self.custom: dict = {}
 
+    @property
+    def quads(self) -> DataFrame:
+        if self._seen is None:
+            self._seen = self._held
+            if self._gone:
+                gone = rdfio.to_frame(self.spark, list(self._gone))
+                self._seen = self._seen.join(gone, _same(self._seen, gone), "left_anti")
+            if self._added:  # none of them is among the others
+                self._seen = self._seen.unionByName(rdfio.to_frame(self.spark, list(self._added)).select(*COLUMNS))
+        return self._seen
+
+    @quads.setter
+    def quads(self, df: DataFrame) -> None:
+        self._depth += 1
+        if self._depth > self.DEPTH:
+            df, _ = write(df)
+            self._depth = 0
+        self._held, self._seen, self._added, self._gone = df, None, {}, {}
+
+    def _changed(self) -> None:
+        self._seen = None
+        if len(self._added) + len(self._gone) > self.ASIDE:
+            self._depth = self.DEPTH
+            self.quads = self.quads
+
     # Queries
     @property
     def engine(self) -> Engine:
@@ -57,6 +89,9 @@ class Store:
     def explain(self, text: str) -> str:
         return self.engine.explain(text)
 
+    def explanation(self, text: str) -> Explanation:
+        return self.engine.explanation(text)
+
     def serialize(self, text: str, format: str) -> Iterator[str]:
         """A query's result as a document: results formats for SELECT and ASK, RDF formats for CONSTRUCT and DESCRIBE."""
         q = self.engine.parse(text)
@@ -74,8 +109,11 @@ class Store:
         return QuadTableSource(self.quads).matching(s, p, o, g)
 
     def contains(self, quad: Quad) -> bool:
+        return quad in self._added or quad not in self._gone and self._holds(quad)
+
+    def _holds(self, quad: Quad) -> bool:
         g, s, p, o = quad
-        return not self.matching(s, p, o, g).isEmpty()
+        return not QuadTableSource(self._held).matching(s, p, o, g).isEmpty()
 
     def __len__(self) -> int:
         return self.quads.count()
@@ -85,10 +123,14 @@ class Store:
 
     def insert(self, quad: Quad) -> bool:
         """Whether the quad is new."""
-        new = not self.contains(quad)
-        if new:
-            self.extend([quad])
-        return new
+        if self.contains(quad):
+            return False
+        if quad in self._gone:
+            del self._gone[quad]
+        else:
+            self._added[quad] = None
+        self._changed()
+        return True
 
     def extend(self, quads: Iterable[Quad] | DataFrame) -> None:
         df = quads if isinstance(quads, DataFrame) else rdfio.to_frame(self.spark, quads)
@@ -96,11 +138,14 @@ class Store:
 
     def remove(self, quad: Quad) -> bool:
         """Whether the quad was there."""
-        there = self.contains(quad)
-        if there:
-            gone = rdfio.to_frame(self.spark, [quad])
-            self.quads = self.quads.join(gone, _same(self.quads, gone), "left_anti")
-        return there
+        if not self.contains(quad):
+            return False
+        if quad in self._added:
+            del self._added[quad]
+        else:
+            self._gone[quad] = None
+        self._changed()
+        return True
 
     # Graphs
     def named_graphs(self) -> set[str]:

@@ -1,5 +1,8 @@
 """RDF-only features over small documents."""
 
+import hashlib
+import random
+
 import pytest
 
 from graphloom.plans import algebra as A
@@ -73,6 +76,59 @@ def test_expressions(people, expression, want):
     assert one(people, expression) == want
 
 
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("'P1Y'^^xsd:duration = 'P12M'^^xsd:duration", "true"), ("'P1D'^^xsd:dayTimeDuration < 'PT25H'^^xsd:dayTimeDuration", "true"), ("'P1M'^^xsd:duration < 'P32D'^^xsd:duration", "true"),
+        ("'P1M'^^xsd:duration < 'P30D'^^xsd:duration", None), ("'P1M'^^xsd:duration < 'P27D'^^xsd:duration", "false"), ("'P2Y'^^xsd:yearMonthDuration > 'P23M'^^xsd:yearMonthDuration", "true"), ("'-P1D'^^xsd:duration < 'PT0S'^^xsd:duration", "true"),
+        ("'P'^^xsd:duration < 'P1D'^^xsd:duration", None), ("'PT1.5S'^^xsd:duration = 'PT1.50S'^^xsd:duration", "true"),
+    ],
+)
+def test_durations(people, expression, want):
+    assert one(people, expression) == want
+
+
+@pytest.mark.parametrize("name", ["md5", "sha1", "sha256", "sha384", "sha512"])
+def test_digests(people, name):
+    assert one(people, f"{name.upper()}('abc é')") == hashlib.new(name, "abc é".encode()).hexdigest()
+
+
+def test_explanation(people):
+    e = people.explanation("SELECT ?s WHERE { ?s ?p ?o }")
+    assert e.seconds > 0 and "Project" in e.optimized and e.physical and e.logical and e.algebra is not None
+
+
+def test_expressions_of_expressions_stay_small(people):
+    """Computed terms are named once: nesting them doesn't multiply the plan."""
+    assert one(people, "?c + ?c", "{ VALUES ?a { 1 'x' } BIND(?a + 1 AS ?b) BIND(?b + ?b AS ?c) FILTER(?c = 4 && ?b < ?c) }") == "8"
+
+
+def test_many_changes_make_a_small_plan(spark, monkeypatch):
+    monkeypatch.setattr(Store, "ASIDE", 20)
+    monkeypatch.setattr(Store, "DEPTH", 4)
+    s = Store(spark)
+    quad = lambda k: (None, IRI(f"a:{k}"), IRI("a:p"), Literal(str(k)))
+    for k in range(30):
+        assert s.insert(quad(k))
+    assert not s.insert(quad(3)) and s.remove(quad(3)) and not s.contains(quad(3)) and s.insert(quad(3))
+    for k in range(10):
+        assert s.remove(quad(k)) and s.remove(quad(k)) is False
+        s.extend([quad(100 + k)])
+    assert len(s) == 30 and s.contains(quad(109)) and not s.contains(quad(9))
+    assert s.quads._jdf.queryExecution().optimizedPlan().toString().count("\n") < 40
+
+
+def test_distinct_with_order_by_other_keys(spark):
+    """Against the first row of each value in a plain sort."""
+    rng, s = random.Random(2), Store(spark)
+    number = lambda k: Literal(str(k), XSD + "integer")
+    values = [(rng.randint(0, 6), rng.randint(0, 50), rng.randint(0, 50)) for _ in range(40)]
+    s.extend([(None, IRI(f"a:{k}"), IRI(f"a:{p}"), number(v)) for k, row in enumerate(values) for p, v in zip("xyz", row)])
+    got = s.query("SELECT DISTINCT ?x WHERE { ?s <a:x> ?x ; <a:y> ?y ; <a:z> ?z } ORDER BY DESC(?y) ?z LIMIT 4")
+    want = list(dict.fromkeys(x for x, _, _ in sorted(values, key=lambda v: (-v[1], v[2]))))[:4]
+    assert [int(r.x.lex) for r in got.collect()] == want
+
+
 def test_aggregates_with_errors(people):
     assert rows(people, "SELECT (SUM(?a) AS ?s) (AVG(?a) AS ?m) WHERE { ?p :age ?a }") == [(None, None)]
     assert rows(people, "SELECT (SUM(?a) AS ?s) (AVG(?a) AS ?m) (MAX(?a) AS ?x) WHERE { ?p :age ?a FILTER(ISNUMERIC(?a)) }") == [("71.5", "35.75", "40.5e0")]  # MAX is one of the terms, as written
@@ -209,6 +265,14 @@ def test_bad_queries(bad):
         parse(bad)
 
 
+def test_parser_ends_on_any_text():
+    """A class after a semicolon is read, and what no rule takes is an error, never a loop."""
+    assert parse("SELECT ?s { ?s ?p ?o ; a ?c ; }").pattern == parse("SELECT ?s { ?s ?p ?o . ?s a ?c }").pattern
+    for bad in ("SELECT ?s { ?s ?p ?o xyz }", "SELECT ?s { ?s ?p ?o", "SELECT ?s { , }", "SELECT ?s { ?s ?p ?o ; A ?c }"):
+        with pytest.raises(SparqlError):
+            parse(bad)
+
+
 def test_parser_details():
     q = parse("BASE <http://b/> PREFIX : <x#> SELECT * { <s> :p 'a\\u00e9', \"\"\"l\"ong\"\"\"@EN ; ^:q [ :r -1.5 ] . FILTER(!?x || ?y != 2 && ?z IN (1,2)) } ORDER BY DESC(?x) ?y LIMIT 3 OFFSET 1")
     assert isinstance(q.pattern, A.Slice) and q.pattern.limit == 3 and q.names == ()
