@@ -5,24 +5,28 @@ header bytes. A record is header bytes + block + CRLF CRLF; the block of a respo
 none. `read_archive` joins the two tables again and verifies every digest.
 
 Nulls: null html is an empty payload; a null page_id is written and never is the smallest; a null url has no
-WARC-Target-URI line. Repeated rows write one record each. An empty table gives an empty archive.
+WARC-Target-URI line. Repeated rows write one record each, with ids of their own. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import shared_path
+from graphloom.llm.common import discard, in_arrow, materialize, shared_path
 
 DATE, LEAST = "1970-01-01T00:00:00Z", 100
 
 
 def _records(pages: DataFrame) -> DataFrame:
     bytes_ = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select("page_id", "url", bytes_.alias("payload")).withColumns(
-        {"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")}
-    )
+    return pages.select("page_id", "url", bytes_.alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
 
 def _record_id(*parts):
@@ -40,17 +44,18 @@ def _line(name: str, value):
 def write_archive(pages: DataFrame, root: str, date: str = DATE, least: int = LEAST) -> str:
     """Write `pages` below `root` as the tables headers and payloads; returns `root`."""
     records = _records(pages)
-    light = records.select("page_id", "url", "digest", "bytes")
-    # Two payloads of one digest must be one payload: their length and a second, unrelated hash are compared.
-    groups = records.groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.min(F.xxhash64("payload")).alias("h0"), F.max(F.xxhash64("payload")).alias("h1"), F.count("*").alias("n")
-    )
-    verified = groups.select("digest", F.when(F.col("h0") != F.col("h1"), F.raise_error(F.lit("two payloads share a SHA-256"))).otherwise(F.col("first")).cast("long").alias("first"))
-    typed = light.join(verified, "digest", "left").withColumn(
+    light = records.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("h"), F.monotonically_increasing_id().alias("row"))
+    light = materialize(light, "light")  # so that `row` tells rows apart, equal ones too
+    # Two payloads of one digest must be one payload: a second, unrelated hash is compared.
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    groups = light.groupBy("digest").agg(F.min(place).alias("first"), F.min("h").alias("h0"), F.max("h").alias("h1"))
+    first = F.when(F.col("h0") != F.col("h1"), F.raise_error(F.lit("two payloads share a SHA-256")).cast("bigint")).otherwise(F.col("first.page_id").cast("long"))
+    typed = light.join(groups.select("digest", first.alias("first"), F.col("first.row").alias("first_row")), "digest").withColumn(
         "again", (F.col("bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     )
     kind = F.when(F.col("again"), "revisit").otherwise("response")
-    own = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    # Each record has an id of its own; that of a group's first can be told from page and digest, for those that refer to it.
+    own = F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(F.col("row") != F.col("first_row"), F.col("row").cast("string")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", _record_id(own, F.col("digest"))), _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")), _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
@@ -59,8 +64,8 @@ def write_archive(pages: DataFrame, root: str, date: str = DATE, least: int = LE
         _line("Content-Length", F.when(F.col("again"), F.lit(0).cast("long")).otherwise(F.col("bytes"))), F.lit("\r\n"),
     )
     typed.select("page_id", "digest", head.cast("binary").alias("header")).write.parquet(f"{root}/headers")
-    once = records.select("page_id", "digest", "payload").join(verified, "digest", "left").filter(F.col("page_id").eqNullSafe(F.col("first")))
-    once.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{root}/payloads")
+    records.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{root}/payloads")  # repeats go before the shuffle
+    discard(light)
     return root
 
 
@@ -79,14 +84,51 @@ def _field(name: str):
     return F.when(found != "", found)
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to, as the bytes of each `record` say; its length is verified."""
+    head = F.concat(F.split(F.col("record").cast("string"), "\r\n\r\n", 2)[0], F.lit("\r\n"))
+    told = records.select("record", head.alias("head"))
+    block = F.octet_length("record") - F.octet_length("head") - 6
+    whole = F.when(block == _field("Content-Length").cast("long"), _field("X-Payload-Length").cast("long")).otherwise(F.raise_error(F.lit("a record doesn't have its length")).cast("bigint"))
+    return told.select(
+        _field("X-Page").cast("long").alias("page_id"), whole.alias("payload_bytes"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
+        _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page").cast("long").alias("refers_to"),
+    )
+
+
+def write_warc(records: DataFrame, root: str, most: int = 1 << 30) -> DataFrame:
+    """Write the `record` bytes as .warc files of about `most` bytes below `root`; returns (file, records, bytes). A task's files have its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, task, at = None, TaskContext.get().partitionId(), 0
+
+        def close() -> pa.RecordBatch:
+            out[0].close()
+            fs.move(out[1], out[2])
+            return pa.RecordBatch.from_arrays([pa.array([out[2].rsplit("/", 1)[-1]]), pa.array([out[3]], pa.int64()), pa.array([out[4]], pa.int64())], names=["file", "records", "bytes"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                if out is None:
+                    name = f"{path}/part-{task:06d}-{at:04d}.warc"
+                    part = f"{name}.{uuid.uuid4().hex}.part"
+                    out, at = [fs.open_output_stream(part), part, name, 0, 0], at + 1
+                data = record.as_py()
+                out[0].write(data)
+                out[3] += 1
+                out[4] += len(data)
+                if out[4] >= most:
+                    yield close()
+                    out = None
+        if out is not None:
+            yield close()
+
+    fs, path = pafs.FileSystem.from_uri(root)
+    fs.create_dir(path, recursive=True)
+    return materialize(in_arrow(records.select("record"), run, "file string, records bigint, bytes bigint"), "warc-files")
+
+
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write `pages`, read them back, and return what the records say of each page."""
+    """Write `pages`, read them back, and return what the reconstructed records say of each page."""
     spark = pages.sparkSession
-    records = read_archive(spark, write_archive(pages, shared_path(spark, "warc")))
-    return records.select(
-        _field("X-Page").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"),
-        _field("X-Refers-To-Page").cast("long").alias("refers_to"),
-    )
+    return parsed(read_archive(spark, write_archive(pages, shared_path(spark, "warc"))))
