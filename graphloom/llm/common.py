@@ -125,18 +125,6 @@ def ordered_buckets(df: DataFrame, column: str, spread: str, knots: int = 256) -
     return (F.get(laid(bases), k) + F.when(x.isNull() | (x == low), own).otherwise(F.get(laid(parts), k) + inner)).cast("long")
 
 
-def join_hot(rows: DataFrame, known: DataFrame, key: str, parts: int = 200) -> DataFrame:
-    """`rows` with the columns of `known`, which has one row for each key and in `n` how many of `rows` have it; `n` isn't kept.
-
-    Keys with over a `parts`-th of all rows, fewer than `parts` of them, are broadcast, so that their rows stay where they are.
-    """
-    total = known.agg(F.sum("n")).first()[0] or 0
-    much = F.col("n") * parts > total
-    hot, rest = known.filter(much).drop("n"), known.filter(~much).drop("n")
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
-
-
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node in `links`; root is the smallest node reachable.
 
