@@ -1,10 +1,10 @@
 """Quality by compression: zstandard dictionaries built from good and from bad labelled text.
 
-Either side has SIDES dictionaries. Its texts are dealt to them, a dictionary is trained on those dealt to it, and each text goes to the
+Either side has SIDES dictionaries (fewer where it has under TEXTS texts for each). Its texts are dealt to them, a dictionary is trained on those dealt to it, and each text goes to the
 one that compresses it best, ROUNDS times over: so they come to stand for kinds of text, such as languages. A text's size on a
 side is the least that one of its dictionaries compresses it to; the difference of the two sizes, divided by their sum, says which
 side it resembles. A logistic curve of that difference and nothing else, fitted on labelled rows that the dictionaries have not seen,
-makes it the score.
+makes it the score; rows of a class weigh as many as the labels have of it, so that the score is a probability there.
 
 Fitting uses a bounded sample: PER_CLASS rows of each class of at most MAX_CHARS characters, none held out. By a hash
 of their texts, half of them make the dictionaries, half fit the curve. A dictionary has DICTIONARY bytes and is trained on
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import held_out, in_arrow, rows_of, small_batches, training_rows
 
-PER_CLASS, MAX_CHARS, DICTIONARY, SIDES, ROUNDS, LEVEL, PIECE, SEED = 3000, 10_000, 16_000, 6, 4, 3, 1 << 17, 42
+PER_CLASS, MAX_CHARS, DICTIONARY, SIDES, TEXTS, ROUNDS, LEVEL, PIECE, SEED = 3000, 10_000, 16_000, 6, 30, 4, 3, 1 << 17, 42
 
 
 class Model:
@@ -78,7 +78,8 @@ def _trained(texts: list[bytes]) -> bytes:
 
 def build(texts: list[bytes], sides: int = SIDES, rounds: int = ROUNDS) -> list[bytes]:
     """The dictionaries of one side."""
-    parts = [p for p in (texts[k::sides] for k in range(sides)) if p]
+    sides = max(1, min(sides, len(texts) // TEXTS))
+    parts = [texts[k::sides] for k in range(sides)]
     made = [_trained(p) for p in parts]
     for _ in range(rounds):
         by = [_compressor(d) for d in made]
@@ -98,12 +99,12 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(parts)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + ridge * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -111,6 +112,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def good_share(labels: DataFrame) -> float:
+    """The share of good ones among all labels that may be learnt from."""
+    return labels.filter(F.col("quality").isin(0, 1) & ~held_out()).agg(F.avg("quality")).first()[0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     rows = training_rows(docs, labels, "quality", (per_class, per_class), max_chars)
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(r.text.encode(), SEED))  # the halves below don't follow doc_id
@@ -120,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     model = Model(*(build(t[: (len(t) + 1) // 2]) for t in split), np.zeros(2))
     rest = [t[(len(t) + 1) // 2 :] or t for t in split]
     x = differences(rest[0] + rest[1], model.sides())
-    model.weights = _logistic(_terms(x), np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1])))
+    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
+    share = good_share(labels)
+    model.weights = _logistic(_terms(x), y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
 
