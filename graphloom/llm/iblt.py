@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text's paragraphs are its lines, cut further after sentences before a letter A to M, so that an edit within a line changes the
-paragraphs around it only. One over LONG characters is cut after words whose hash is 0 modulo EVERY; a text of up to SHORT characters has its words for paragraphs. A paragraph's
+A text's paragraphs are its lines. One over LONG characters is cut after words whose hash is 0 modulo EVERY, so that an edit within it changes
+the paragraphs around it only; a text of up to SHORT characters has its words for paragraphs. A paragraph's
 digest is a 64-bit hash of it and of how many equal ones stand before it: repeats count, the order of paragraphs doesn't.
 A sketch has three parts of PART cells; a digest adds itself to one cell of each part: a count, an xor of digests and an xor of
 check values. The difference of two sketches holds just the digests in which the texts differ. Peeling recovers them,
@@ -30,7 +30,7 @@ from graphloom.llm.arrays import let, running
 from graphloom.llm.common import ordered_buckets
 
 PART, ROUNDS, SMALL, FEW, EACH, AGAIN, RETRIES = 8, 24, 3, 5, 2, 4, 24
-SHORT, LONG, EVERY, BREAK = 200, 512, 16, r"\n|(?<=[.!?]) (?=[A-M])"
+SHORT, LONG, EVERY = 128, 256, 64
 
 
 def paragraphs(text: Column) -> Column:
@@ -38,7 +38,7 @@ def paragraphs(text: Column) -> Column:
         cut = F.transform(F.split(piece, " "), lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(EVERY)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
         return F.when(F.char_length(piece) <= LONG, F.array(piece)).otherwise(F.split(F.array_join(cut, " "), "\n"))
 
-    return F.when(F.char_length(text) <= SHORT, F.split(text, "[ \n]")).otherwise(F.flatten(F.transform(F.split(text, BREAK), pieces)))
+    return F.when(F.char_length(text) <= SHORT, F.split(text, "[ \n]")).otherwise(F.flatten(F.transform(F.split(text, "\n"), pieces)))
 
 
 def _numbered(hashes: Column) -> Column:
