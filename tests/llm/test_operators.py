@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import bpe, iblt, licenses, neighbours, packing, quality, simhash, tokenfiles, toxicity, warc
-from graphloom.llm.common import connected_components
+from graphloom.llm.common import connected_components, ordered_buckets, training_rows
 from graphloom.llm.license_rules import BASE, GATE_WORDS, GATES, rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -180,6 +181,38 @@ def test_quality(spark, odd, none):
     assert kept.columns == docs.columns and 0.6 * 240 < kept.count() < 0.9 * 240
 
 
+def test_quality_score_is_the_difference(spark, odd):
+    """The query's scores against plain compression with the model's dictionaries."""
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    assert 1 <= len(model.bad) <= len(model.good) <= quality.SIDES
+
+    def size(text, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(text[at : at + (1 << 17)])) for at in range(0, len(text), 1 << 17))
+
+    def plain(text):
+        g, b = (min(size(text, d) for d in side) for side in (model.good, model.bad)) if text else (1, 1)
+        return 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 10 * (b - g) / (b + g))))
+
+    assert model.weights[1] > 0
+    got = quality.score_documents(odd, labels.limit(0)).count()
+    assert got == len(odd_rows())
+    both = docs.select("doc_id", "text").unionByName(odd.filter("doc_id < 20 AND doc_id >= 0").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    scores = {r.doc_id: r.score for r in quality.score(both, model).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in both.collect()}
+    assert len(scores) > 250 and all(scores[k] == pytest.approx(plain(t)) for k, t in texts.items())
+
+
+def test_training_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(0, 1)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, "quality", (10, 10), 100)
+    assert len(rows) == len({r.doc_id for r in rows}) and all(r.text == f"text {min((k for k in range(100) if k % 5 == r.doc_id), key=str)}" for r in rows)
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs, labels = labelled(spark)
     out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -202,6 +235,14 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == docs.columns and 150 <= kept.count() <= 170
 
 
+def test_spans_are_offsets_in_the_text():
+    assert toxicity.spans_of("İİ moron", np.array([0, 0, 0.9])) == [(3, 8)]
+    for text in ("İİ moron", "a İ moron scum İx", "MORON", "ẞ ΑΣ moron"):
+        found = toxicity.words(text)
+        toxic = np.array([float(w in ("moron", "scum")) for w in found])
+        assert " ".join(text[a:b].lower() for a, b in toxicity.spans_of(text, toxic)) == " ".join(w for w in found if w in ("moron", "scum"))
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5):
@@ -477,31 +518,73 @@ def test_neighbours(spark):
 
 
 # Fingerprints
+def plain_digests(text):
+    """Paragraphs with their numbers among their equals."""
+    found = re.split("[ \n]", text) if len(text) <= 128 else []
+    for piece in text.split("\n") if len(text) > 128 else []:
+        cut = " ".join(w + "\n" * (xxhash.xxh64_intdigest(w.encode(), 42) % 64 == 0) for w in piece.split(" ")).split("\n")
+        found += cut if len(piece) > 256 else [piece]
+    seen = Counter(found)
+    return {(p, k) for p, n in seen.items() for k in range(n)}
+
+
+def edits_in_order(order):
+    """Plain n_chars, hash and likenesses of texts in the order of the contract."""
+    same = lambda a, b: len(a & b) / len(a | b)
+    for k, t in enumerate(order):
+        n = order[(k + 1) % len(order)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + n[:cut]
+        parts = [plain_digests(x) for x in (t, edited, n)]
+        yield len(t), hashlib.sha256(edited.encode()).hexdigest(), same(parts[0], parts[1]), same(parts[0], parts[2]), len(parts[0] ^ parts[1])
+
+
 def test_fingerprints(spark, none):
     rng = random.Random(6)
     lines = [prose(rng, 5) for _ in range(400)]
-    texts = [None, "", "one line", "a\nb\nc\nd\ne\nf", "\n".join(lines), "\n".join(lines[:300] + lines[:100:-1]), "é" * 9, "same\nlines", "same\nlines"]
-    ids = [3, 9, 1, 40, 22, 5, 7, 8, 100]
-    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("next", F.lit(1)).withColumn("bucket", F.lit(1))
+    texts = [None, "", "one line", "a\nb\nc\nd\ne\nf", "\n".join(lines), "\n".join(lines[:300] + lines[:100:-1]), "é" * 9, "same\nlines", "same\nlines", prose(rng, 900), "x\n" * 200 + "y", "x\n" * 100 + "y"]
+    ids = [3, 9, 1, 40, 22, 5, 7, 8, 100, 101, 102, 103]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("next", F.lit(1)).withColumn("bucket", F.lit(1)).withColumn("o", F.lit(1))
     got = {r.doc_id: r for r in iblt.fingerprint_edits(df).collect()}
     order = sorted(zip(ids, (t or "" for t in texts)), reverse=True)
-    same = lambda a, b: len(a & b) / len(a | b)
-    for k, (i, t) in enumerate(order):
-        n = order[(k + 1) % len(order)][1]
-        cut = len(t) // 3
-        edited = t[: len(t) - cut] + n[:cut]
+    for (i, _), (n, sha, near_edited, near_next, differ) in zip(order, edits_in_order([t for _, t in order])):
         r = got[i]
-        parts = [set(x.split("\n")) for x in (t, edited, n)]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.near_edited == pytest.approx(same(parts[0], parts[1])) and r.near_next == pytest.approx(same(parts[0], parts[2]))
-    assert got[8].fingerprint == got[100].fingerprint != got[1].fingerprint
+        assert r.n_chars == n and r.edited_sha256 == sha and len(set(r.edited_difference)) == differ
+        assert r.near_edited == pytest.approx(near_edited) and r.near_next == pytest.approx(near_next)
+    assert got[8].fingerprint == got[100].fingerprint != got[1].fingerprint and 0 < got[103].near_next < 1
     assert iblt.fingerprint_edits(none).collect() == []
     single = iblt.fingerprint_edits(df.filter("doc_id = 1")).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
 
 
+def test_recovered_digests(spark):
+    """The digests that peeling gives back are those of the differing paragraphs, each with its side."""
+    old, new = [f"line {k}" for k in range(60)], [f"line {k}" for k in range(3, 64)]
+    df = spark.createDataFrame([("\n".join(old), "\n".join(new))], "a string, b string")
+    a, b = iblt.digests(F.col("a")), iblt.digests(F.col("b"))
+    row = df.select(a.alias("a"), b.alias("b")).select("a", "b", iblt.difference(F.col("a"), F.col("b"), iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))).alias("d")).first()
+    assert {x.digest for x in row.d if x.side == 1} == set(row.a) - set(row.b) and {x.digest for x in row.d if x.side == -1} == set(row.b) - set(row.a) and row.d
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
-    assert iblt.fingerprint_edits(odd).count() == len(odd_rows())
+    got = iblt.fingerprint_edits(odd).collect()
+    rows = [(r[0], r[1] or "") for r in odd_rows()]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = [(rows[k][0], n, sha, round(e, 9), round(x, 9)) for k, (n, sha, e, x, _) in enumerate(edits_in_order([t for _, t in rows]))]
+    assert keyed((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == keyed(want)
+
+
+def test_buckets_are_ordered_and_spread(spark):
+    """A third of the rows has no id, a third one id; no bucket holds more than a few times sqrt(n) rows."""
+    n = 9000
+    x = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(77)).otherwise(F.col("id") % 500)
+    df = spark.range(n).select(x.alias("x"), F.xxhash64("id").alias("h"))
+    rows = df.withColumn("b", ordered_buckets(df, "x", "h")).collect()
+    assert max(Counter(r.b for r in rows).values()) < 6 * n**0.5
+    rows.sort(key=lambda r: (r.x is not None, r.x or 0, (r.h + (1 << 63)) if r.x in (None, 77) else 0))
+    b = [r.b for r in rows]
+    assert b == sorted(b) and len(set(b)) > 100
 
 
 # WARC
@@ -527,3 +610,17 @@ def test_warc_stores_payloads_once(spark, tmp_path):
     records = {r.page_id: bytes(r.record) for r in warc.read_archive(spark, root).collect()}
     assert records[0].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[0].endswith(b"\r\n\r\n" + b"y" * 150 + b"\r\n\r\n")
     assert b"WARC-Refers-To: " in records[3] and records[3].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    rows = [(i % 7 if i % 5 else None, "u", ("z" * 120, "", "q" * 300)[i % 3]) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc.read_archive(spark, warc.write_archive(df, f"file://{tmp_path}/w"))
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in records.collect()]
+    ids = [re.search("WARC-Record-ID: (.*)\r", h)[1] for h in heads]
+    assert len(set(ids)) == len(rows)
+    assert {re.search("WARC-Refers-To: (.*)\r", h)[1] for h in heads if "Refers-To: " in h} <= set(ids)
+    files = warc.write_warc(records, f"file://{tmp_path}/out", most=3000).collect()
+    assert sum(f.records for f in files) == len(rows) and len(files) > 3
+    found = b"".join((tmp_path / "out" / f.file).read_bytes() for f in files)
+    assert sum(f.bytes for f in files) == len(found) == sum(len(r.record) for r in records.collect()) and found.count(b"WARC/1.1\r\n") == len(rows)

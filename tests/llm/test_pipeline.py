@@ -29,3 +29,13 @@ def test_stages_keep_what_operators_say(spark, tmp_path):
     whole = corpus_pipeline.run(spark, folder).collect()
     key = lambda x: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in x)
     assert key(whole) == key(packed)
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    docs, labels = labelled(spark)
+    folder = f"file://{tmp_path}"
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).columns == docs.columns
