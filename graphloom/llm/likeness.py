@@ -1,13 +1,19 @@
-"""Near-copies by exact likeness: texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
+"""Near-copies by SimHash and exact likeness: texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
 
 Shingles are `WIDTH` words; a shorter text is one shingle. A set is told by a hash of its sorted shingle hashes, so texts
-with equal sets cost one row. Candidates meet under `BANDS` keys, each of `ROWS` MinHash values: a pair of similarity s
-shares none with probability (1 - s^ROWS)^BANDS, which is 3e-6 at 0.8 and 6e-11 at 0.9. Every candidate is then held
-against the sets themselves, so a link is never a guess.
+with equal sets cost one row. A set's SimHash has `BLOCKS` blocks of `BLOCK` bits and `SKETCH` words more. By the pigeonhole
+principle two prints with fewer than `BLOCKS` different bits agree on a whole block, and so meet. Sets of similarity s differ in
+a share p of the bits, at 0.8 about 0.15 (sets of 4 and 5 shingles, the worst: 0.19), which is more than that; they share no
+block with probability (1 - (1 - p)^BLOCK)^BLOCKS, which is 1e-9 (worst: 4e-6). Sets that meet are near if their sizes allow
+the similarity and the other words differ in at most `MAX_BITS` bits, which misses as few. (op4's 64 bits can't tell
+0.8: some 10 bits differ, often 20, and unrelated texts have 32.)
 
-A key of up to `SMALL` sets gives its pairs, at most SMALL / 2 a set. A larger one is dealt into cells of two chunks of
-about `WEIGHT` shingles each, so no task holds an unbounded key; in a cell, a breadth-first search over the verified
-links returns a spanning forest, so dense keys don't return their pairs.
+A block of more than `CELL` sets is dealt into cells of two chunks each, so no task holds an unbounded block; within a cell
+all pairs are compared, but only each component's links with its least set are returned, so dense blocks don't return their pairs.
+
+The components of near sets are families, and in a family every pair is held against the sets themselves, so a link is never
+a guess. A family of up to `SMALL` sets gives its pairs. A larger one is dealt into cells of two chunks of about `WEIGHT`
+shingles each; in a cell, a breadth-first search over the verified links returns a spanning forest.
 
 Texts without words have equal sets, and so are copies of each other.
 """
@@ -19,13 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_arrow, materialize, rows_of, small_batches
+from graphloom.llm.common import connected_components, in_arrow, materialize, rows_of, small_batches
 
-WIDTH, ROWS, BANDS, SEED, SMALL, WEIGHT = 5, 4, 24, 42, 32, 1 << 19
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WIDTH, SEED, SMALL, WEIGHT = 5, 42, 32, 1 << 19
+BLOCK, BLOCKS, SKETCH, MAX_BITS, CELL, SAMPLE = 12, 144, 3, 64, 2048, 16
+WORDS = BLOCK * BLOCKS // 64 + SKETCH
+#: A place is a block with its value (20 bits), a cell (20) and a size (23, larger ones count as the largest).
+_SIZE, _CELL, _CHUNKS = 23, 20, 1400
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -37,21 +48,24 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The `BANDS` keys of a set; none of an empty one."""
-    if not len(hashes):
-        return hashes
-    least = np.full(ROWS * BANDS, ~np.uint64(0))
-    for at in range(0, len(hashes), 4096):
-        x = hashes[None, at : at + 4096] * _ODD[0]
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """The `WORDS` words of a set's SimHash: a bit is 1 if it is in over half of the shingles' words."""
+    total = np.zeros((8, WORDS * 8), np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        x = hashes[at : at + 255, None] * _ODD[0]
         x ^= x >> np.uint64(32)
         x *= _ODD[1]
-        np.minimum(least, x.min(1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * _ODD[0, 0]
-        key ^= key >> np.uint64(29)
-    return key
+        x ^= x >> np.uint64(29)
+        for bit in range(8):
+            total[bit] += ((x >> np.uint64(bit)) & _LANES).sum(0).view(np.uint8)
+    return np.packbits(total * 2 > len(hashes), axis=0, bitorder="little").view(np.uint64)[0]
+
+
+def block_places(prints: np.ndarray) -> np.ndarray:
+    """Of rows of words, the `BLOCKS` numbers (block << BLOCK | its bits) of each: 12 bits are half of three bytes."""
+    b = np.ascontiguousarray(prints[:, : WORDS - SKETCH]).view(np.uint8).reshape(len(prints), -1, 3).astype(np.int64)
+    bits = np.stack([b[:, :, 0] | (b[:, :, 1] & 15) << 8, b[:, :, 1] >> 4 | b[:, :, 2] << 4], 2).reshape(len(prints), BLOCKS)
+    return (np.arange(BLOCKS) << BLOCK) | bits
 
 
 def set_print(hashes: np.ndarray) -> int:
@@ -65,20 +79,20 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """All columns but the text, `fp` (tells the set), `size` (its shingles) and `keys` (of its bands)."""
+    """All columns but the text, `fp` (tells the set), `size` (its shingles) and `print` (its SimHash)."""
     kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fp bigint, size bigint, keys array<bigint>"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fp bigint, size bigint, print binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, len(kept), 1 << 20):
-            fps, sizes, keys = [], [], []
+            fps, sizes, prints = [], [], []
             for text in rows_of(batch, len(kept)):
                 x = shingles(text)
                 fps.append(set_print(x))
                 sizes.append(len(x))
-                keys.append(band_keys(x))
-            cols = [*batch.columns[: len(kept)], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "fp", "size", "keys"])
+                prints.append(simhash(x).tobytes())
+            cols = [*batch.columns[: len(kept)], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "fp", "size", "print"])
 
     return in_arrow(docs.select(*kept, "text"), run, schema)
 
@@ -150,11 +164,108 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps[edges[:, 0]]), pa.array(fps[edges[:, 1]])], names=["a", "b"])
 
 
-def meetings(reps: DataFrame) -> DataFrame:
-    """(key, fp, n, weight) of the distinct sets `reps` (fp, size, keys) that share a key with another one."""
-    keyed = reps.select("fp", "size", F.explode("keys").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).filter("n > 1")
-    return keyed.join(crowds, "key").select("key", "fp", "n", "weight")
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, fp, s0, s1, s2) of every block of rows (fp, size, print)."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+            size = np.minimum(np.asarray(batch.column(1)), (1 << _SIZE) - 1)
+            at = (block_places(prints) << (_CELL + _SIZE)) | size[:, None]
+            cols = [at.ravel(), *(np.repeat(c, BLOCKS) for c in (np.asarray(batch.column(0)), *prints[:, -SKETCH:].T.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["at", "fp", "s0", "s1", "s2"])
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Let the trees of a and b in `root`, whose rows name their roots, be one."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def _near_rows(at: np.ndarray, fp: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of the near sets within each cell of rows sorted by `at`: of every component, its least set with each other one."""
+    cell, size = at >> _SIZE, at & ((1 << _SIZE) - 1)
+    root, left, lag = np.arange(len(at)), np.arange(len(at)), 0
+    while len(left):
+        lag += 1
+        left = left[: np.searchsorted(left, len(at) - lag)]
+        other = left + lag
+        # Sizes ascend in a cell: beyond the first that is too large there is none.
+        left = left[(cell[left] == cell[other]) & (size[left] * 5 >= size[other] * 4)]
+        other = left + lag
+        near = sum(np.bitwise_count(w[left] ^ w[other]) for w in words) <= MAX_BITS
+        if near.any():
+            _join(root, left[near], other[near])
+    moved = np.flatnonzero(root != np.arange(len(at)))
+    least = fp.copy()
+    np.minimum.at(least, root[moved], fp[moved])
+    kin = np.union1d(moved, root[moved])
+    kin = kin[fp[kin] != least[root[kin]]]
+    return least[root[kin]], fp[kin]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sorted rows (at, fp, s0, s1, s2); a cell may span batches."""
+
+    def batch_of(cols: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = _near_rows(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+        cell = cols[0] >> _SIZE
+        cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+        if cut or (held and held[-1][0][-1] >> _SIZE != cell[-1]):
+            held.append([c[:cut] for c in cols])
+            yield batch_of([np.concatenate(x) for x in zip(*held)])
+            held = []
+        held.append([c[cut:].copy() for c in cols])
+    if held:
+        yield batch_of([np.concatenate(x) for x in zip(*held)])
+
+
+def near_prints(reps: DataFrame, sample: int = SAMPLE, most: int = CELL) -> DataFrame:
+    """Links (a, b), a < b, among the distinct sets `reps` (fp, size, print), enough to connect all that are near.
+
+    A set has a link at most for each of its cells; its least neighbour then takes the others over, so that few a set are left.
+    """
+    schema, block = "at bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint", F.shiftright("at", _CELL + _SIZE)
+    # Different sets are alike from 4 of 5 shingles on: smaller ones are alone.
+    some = reps.filter("size > 3").select("fp", "size", "print")
+    # How many cells a block needs is told by a sample of the sets: it decides how rows are dealt, not what meets.
+    told = in_arrow(some.filter(F.pmod("fp", F.lit(sample)) == 0), _placed, schema).groupBy(block.alias("block")).agg((F.count("*") * sample).alias("n"))
+    crowds = materialize(told.filter(F.col("n") > most).select("block", F.least(F.ceil(F.col("n") / most), F.lit(_CHUNKS)).alias("g")), "crowds")
+    placed = in_arrow(some, _placed, schema).withColumn("block", block).join(crowds, "block", "left").withColumn("g", F.coalesce("g", F.lit(1).cast("long")))
+    mine, o = F.pmod(F.xxhash64("fp", "block"), F.col("g")), F.col("o")
+    dealt = placed.withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    low, high = F.least("c", o), F.greatest("c", o)
+    cell = F.shiftright(high * (high + 1), 1) + low
+    dealt = dealt.select((F.col("at") + F.shiftleft(cell, _SIZE)).alias("at"), "fp", "s0", "s1", "s2")
+    ordered = dealt.repartition(F.shiftright("at", _SIZE)).sortWithinPartitions("at")
+    links = in_arrow(ordered, _near, "a bigint, b bigint").distinct()
+    for _ in range(2):
+        least = links.withColumn("w", F.min("a").over(Window.partitionBy("b")))
+        ends = F.array(F.struct("w", "b"), F.struct("w", F.col("a").alias("b")))
+        links = least.select(F.explode(ends).alias("l")).select(F.col("l.w").alias("a"), "l.b").filter("a < b").distinct()
+    return links
+
+
+def meetings(reps: DataFrame, sample: int = SAMPLE, most: int = CELL) -> DataFrame:
+    """(key, fp, n, weight) of the distinct sets `reps` (fp, size, print) that are in a family with another one; its key tells the family."""
+    roots = connected_components(near_prints(reps, sample, most)).select(F.col("root").alias("key"), F.col("node").alias("fp"))
+    kin = roots.join(reps.select("fp", "size"), "fp")
+    crowds = kin.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    return kin.join(crowds, "key").select("key", "fp", "n", "weight")
 
 
 def similar_links(met: DataFrame, known: DataFrame, small: int = SMALL, weight: int = WEIGHT) -> DataFrame:

@@ -163,7 +163,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     spare = F.xxhash64("text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")
     signed = materialize(signatures(docs.select("doc_id", spare.alias("spare"), "text")).withColumn("rank", rank), "signed")
-    reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
+    reps = materialize(signed.groupBy("fp").agg(F.min("rank").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")), "reps")
     marked = docs.withColumn("__spare", spare)
 
     def rows_in(keys: DataFrame) -> DataFrame:

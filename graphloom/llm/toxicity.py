@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +132,7 @@ def _told(toxic: np.ndarray) -> tuple[float, float, float]:
     return 1.0, math.log(top / (1 - top)), math.log(1 + len(toxic)) / 10
 
 
-def toxic_words(texts: list[set[str]], y: np.ndarray, chance: float = 0.01) -> set[str]:
+def toxic_words(texts: Iterable[set[str]], y: np.ndarray, chance: float = 0.01) -> set[str]:
     """Words that stand in toxic documents more often than `chance` allows over all words, and hardly in others."""
     bad, all_ = Counter(), Counter()
     for t, v in zip(texts, y):
@@ -182,9 +182,10 @@ def fit_rows(texts: list[str], y: np.ndarray) -> Model:
     none = Model(np.zeros(1 << BITS), np.zeros((2, 2)), np.array([-40.0, 0, 0]))
     if not len(y) or y.min() == y.max():
         return none
-    split = [words(t) for t in texts]
+    one: dict[str, str] = {}  # a word is held once, however often it stands in the sample
+    split = [[one.setdefault(w, w) for w in words(t)] for t in texts]
     learn = np.arange(len(y)) % 4 != 3
-    known = toxic_words([set(t) for t, k in zip(split, learn) if k], y[learn])
+    known = toxic_words((set(t) for t, k in zip(split, learn) if k), y[learn])
     mine = [t for t, k in zip(split, learn) if k]
     marks = [np.array([v and w in known for w in t], bool) for t, v in zip(mine, y[learn])]
     weights, steps = train(mine, marks)
