@@ -8,8 +8,12 @@ block with probability (1 - (1 - p)^BLOCK)^BLOCKS, which is 1e-9 (worst: 4e-6).
 the similarity and the other words differ in at most `MAX_BITS` bits, which misses as few. (op4's 64 bits can't tell
 0.8: some 10 bits differ, often 20, and unrelated texts have 32.)
 
-A block of more than `CELL` sets is dealt into cells of two chunks each, so no task holds an unbounded block; within a cell
-all pairs are compared, but only each component's links with its least set are returned, so dense blocks don't return their pairs.
+Blocks are gone through twice. First `FIRST` of them, in which a block of more than `CELL` sets is cut into cells of one chunk each: a
+set has a row and at most a link (with the least of its component in the cell) for each. The components of these links are groups; they
+miss links, but are never wrong, and hold most of a large number of near sets by then. Then all blocks: a block of more than `CELL` sets
+is dealt into cells of two chunks each, so no task holds an unbounded block, and all pairs of different groups meet in a cell. A group that has more
+than `CELL` sets in a block has chunks of its own, which don't meet each other. Links are those between groups, so neither rows
+nor links grow with the square of a group's size. Rows do with that of a block of many groups, which have to be compared.
 
 The components of near sets are families, and in a family every pair is held against the sets themselves, so a link is never
 a guess. A family of up to `SMALL` sets gives its pairs. A larger one is dealt into cells of two chunks of about `WEIGHT`
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import connected_components, in_arrow, materialize, rows_of, small_batches
 
 WIDTH, SEED, SMALL, WEIGHT = 5, 42, 32, 1 << 19
-BLOCK, BLOCKS, SKETCH, MAX_BITS, CELL, SAMPLE = 12, 144, 3, 64, 2048, 16
+BLOCK, BLOCKS, SKETCH, MAX_BITS, CELL, SAMPLE, FIRST = 12, 144, 3, 64, 2048, 16, 8
 WORDS = BLOCK * BLOCKS // 64 + SKETCH
 #: A place is a block with its value (20 bits), a cell (20) and a size (23, larger ones count as the largest).
 _SIZE, _CELL, _CHUNKS = 23, 20, 1400
+_PLACED = "at bigint, fp bigint, root bigint, s0 bigint, s1 bigint, s2 bigint"
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -164,16 +169,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps[edges[:, 0]]), pa.array(fps[edges[:, 1]])], names=["a", "b"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, fp, s0, s1, s2) of every block of rows (fp, size, print)."""
+def _placed(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """(at, fp, root, s0, s1, s2) of each of the first `blocks` blocks of rows (fp, root, size, print)."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 256):
             batch = whole.slice(lo, 256)
-            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-            size = np.minimum(np.asarray(batch.column(1)), (1 << _SIZE) - 1)
-            at = (block_places(prints) << (_CELL + _SIZE)) | size[:, None]
-            cols = [at.ravel(), *(np.repeat(c, BLOCKS) for c in (np.asarray(batch.column(0)), *prints[:, -SKETCH:].T.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["at", "fp", "s0", "s1", "s2"])
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
+            size = np.minimum(np.asarray(batch.column(2)), (1 << _SIZE) - 1)
+            at = (block_places(prints)[:, :blocks] << (_CELL + _SIZE)) | size[:, None]
+            each = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), *prints[:, -SKETCH:].T.view(np.int64))
+            cols = [at.ravel(), *(np.repeat(c, blocks) for c in each)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["at", "fp", "root", "s0", "s1", "s2"])
 
 
 def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -189,8 +195,8 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def _near_rows(at: np.ndarray, fp: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of the near sets within each cell of rows sorted by `at`: of every component, its least set with each other one."""
+def _near_rows(at: np.ndarray, group: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of the groups that have near sets within a cell of rows sorted by `at`: of every component, its least group with each other one."""
     cell, size = at >> _SIZE, at & ((1 << _SIZE) - 1)
     root, left, lag = np.arange(len(at)), np.arange(len(at)), 0
     while len(left):
@@ -199,20 +205,21 @@ def _near_rows(at: np.ndarray, fp: np.ndarray, words: list[np.ndarray]) -> tuple
         other = left + lag
         # Sizes ascend in a cell: beyond the first that is too large there is none.
         left = left[(cell[left] == cell[other]) & (size[left] * 5 >= size[other] * 4)]
-        other = left + lag
-        near = sum(np.bitwise_count(w[left] ^ w[other]) for w in words) <= MAX_BITS
-        if near.any():
-            _join(root, left[near], other[near])
+        one = left[group[left] != group[left + lag]]
+        near = one[sum(np.bitwise_count(w[one] ^ w[one + lag]) for w in words) <= MAX_BITS]
+        if len(near):
+            _join(root, near, near + lag)
     moved = np.flatnonzero(root != np.arange(len(at)))
-    least = fp.copy()
-    np.minimum.at(least, root[moved], fp[moved])
+    least = group.copy()
+    np.minimum.at(least, root[moved], group[moved])
     kin = np.union1d(moved, root[moved])
-    kin = kin[fp[kin] != least[root[kin]]]
-    return least[root[kin]], fp[kin]
+    kin = kin[group[kin] != least[root[kin]]]
+    a, b = np.unique(np.stack([least[root[kin]], group[kin]]), axis=1)
+    return a, b
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted rows (at, fp, s0, s1, s2); a cell may span batches."""
+    """Links of sorted rows (at, root, s0, s1, s2); a cell may span batches."""
 
     def batch_of(cols: list[np.ndarray]) -> pa.RecordBatch:
         a, b = _near_rows(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:]])
@@ -234,30 +241,66 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([np.concatenate(x) for x in zip(*held)])
 
 
+def _crowds(some: DataFrame, blocks: int, sample: int, most: int) -> DataFrame:
+    """(block, total, root, n, per) of the blocks with more than `most` sets: the sets of each group in it, and how many make a chunk.
+
+    The numbers are told by a sample of the sets: they decide how rows are dealt, not what meets.
+    """
+    told = in_arrow(some.filter(F.pmod("fp", F.lit(sample)) == 0), lambda it: _placed(it, blocks), _PLACED)
+    told = materialize(told.groupBy(F.shiftright("at", _CELL + _SIZE).alias("block"), "root").agg((F.count("*") * sample).alias("n")), "told")
+    totals = told.groupBy("block").agg(F.sum("n").alias("total")).filter(F.col("total") > most)
+    # Groups of more than a chunk are at most as many as chunks, and each has less than one chunk that isn't full: so there are `_CHUNKS` in all.
+    return told.join(totals, "block").withColumn("per", F.greatest(F.lit(most).cast("double"), F.col("total") / (_CHUNKS // 2 - 1)))
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups that meet in the cells of rows (at, root, s0, s1, s2)."""
+    ordered = dealt.repartition(F.shiftright("at", _SIZE)).sortWithinPartitions("at")
+    return in_arrow(ordered, _near, "a bigint, b bigint").distinct()
+
+
+def groups(some: DataFrame, sample: int = SAMPLE, most: int = CELL) -> DataFrame:
+    """(node, root) of sets `some` (fp, size, print) that are near others in a chunk of one of the first blocks."""
+    some, block = some.withColumn("root", F.col("fp")).select("fp", "root", "size", "print"), F.shiftright("at", _CELL + _SIZE)
+    total = _crowds(some, FIRST, sample, most).groupBy("block").agg(F.max("total").alias("total"))
+    total = materialize(total.select("block", F.least(F.ceil(F.col("total") / most), F.lit(1 << _CELL)).alias("g")), "crowds")
+    placed = in_arrow(some, lambda it: _placed(it, FIRST), _PLACED).withColumn("block", block).join(total, "block", "left")
+    chunk = F.pmod(F.xxhash64("fp", "block"), F.coalesce("g", F.lit(1).cast("long")))
+    return connected_components(_met(placed.select((F.col("at") + F.shiftleft(chunk, _SIZE)).alias("at"), "root", "s0", "s1", "s2")))
+
+
 def near_prints(reps: DataFrame, sample: int = SAMPLE, most: int = CELL) -> DataFrame:
     """Links (a, b), a < b, among the distinct sets `reps` (fp, size, print), enough to connect all that are near.
 
-    A set has a link at most for each of its cells; its least neighbour then takes the others over, so that few a set are left.
+    A set has a link with its group, and groups have links with groups.
     """
-    schema, block = "at bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint", F.shiftright("at", _CELL + _SIZE)
+    block = F.shiftright("at", _CELL + _SIZE)
     # Different sets are alike from 4 of 5 shingles on: smaller ones are alone.
     some = reps.filter("size > 3").select("fp", "size", "print")
-    # How many cells a block needs is told by a sample of the sets: it decides how rows are dealt, not what meets.
-    told = in_arrow(some.filter(F.pmod("fp", F.lit(sample)) == 0), _placed, schema).groupBy(block.alias("block")).agg((F.count("*") * sample).alias("n"))
-    crowds = materialize(told.filter(F.col("n") > most).select("block", F.least(F.ceil(F.col("n") / most), F.lit(_CHUNKS)).alias("g")), "crowds")
-    placed = in_arrow(some, _placed, schema).withColumn("block", block).join(crowds, "block", "left").withColumn("g", F.coalesce("g", F.lit(1).cast("long")))
-    mine, o = F.pmod(F.xxhash64("fp", "block"), F.col("g")), F.col("o")
-    dealt = placed.withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    known = groups(some, sample, most)
+    some = some.join(known, some.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "print")
+    crowds = _crowds(some, BLOCKS, sample, most)
+    large = F.col("n") > F.col("per")
+    # Chunks of a block: first those of all the small groups, then those of one large group after the other.
+    own = crowds.filter(large).withColumn("m", F.ceil(F.col("n") / F.col("per")))
+    own = own.withColumn("before", F.sum("m").over(Window.partitionBy("block").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)))
+    own = own.groupBy("block").agg(F.sum("m").alias("owned"), F.collect_list(F.struct("root", F.coalesce("before", F.lit(0).cast("long")).alias("before"), "m")).alias("own"))
+    rest = F.sum(F.when(large, 0).otherwise(F.col("n")))
+    dealing = crowds.groupBy("block").agg(F.greatest(F.ceil(rest / F.max("per")), F.lit(1).cast("long")).alias("shared")).join(own, "block", "left")
+    dealing = materialize(dealing.select("block", "shared", (F.col("shared") + F.coalesce("owned", F.lit(0).cast("long"))).alias("g"), "own"), "crowds")
+    placed = in_arrow(some, lambda it: _placed(it, BLOCKS), _PLACED).withColumn("block", block).join(dealing, "block", "left")
+    one = F.lit(1).cast("long")
+    placed = placed.withColumn("shared", F.coalesce("shared", one)).withColumn("g", F.coalesce("g", one))
+    placed = placed.withColumn("mine", F.get(F.filter("own", lambda x: x["root"] == F.col("root")), F.lit(0)))
+    start, chunk, o = F.col("shared") + F.col("mine.before"), F.xxhash64("fp", "block"), F.col("o")
+    end = start + F.col("mine.m")
+    others = F.sequence(F.lit(0).cast("long"), F.coalesce(start, F.col("g")) - 1)
+    others = F.when(end < F.col("g"), F.concat(others, F.sequence(end, F.col("g") - 1))).otherwise(others)
+    dealt = placed.withColumn("c", F.coalesce(start + F.pmod(chunk, F.col("mine.m")), F.pmod(chunk, F.col("shared")))).withColumn("o", F.explode(others))
     low, high = F.least("c", o), F.greatest("c", o)
     cell = F.shiftright(high * (high + 1), 1) + low
-    dealt = dealt.select((F.col("at") + F.shiftleft(cell, _SIZE)).alias("at"), "fp", "s0", "s1", "s2")
-    ordered = dealt.repartition(F.shiftright("at", _SIZE)).sortWithinPartitions("at")
-    links = in_arrow(ordered, _near, "a bigint, b bigint").distinct()
-    for _ in range(2):
-        least = links.withColumn("w", F.min("a").over(Window.partitionBy("b")))
-        ends = F.array(F.struct("w", "b"), F.struct("w", F.col("a").alias("b")))
-        links = least.select(F.explode(ends).alias("l")).select(F.col("l.w").alias("a"), "l.b").filter("a < b").distinct()
-    return links
+    dealt = dealt.select((F.col("at") + F.shiftleft(cell, _SIZE)).alias("at"), "root", "s0", "s1", "s2")
+    return _met(dealt).union(known.filter("root < node").select("root", "node"))
 
 
 def meetings(reps: DataFrame, sample: int = SAMPLE, most: int = CELL) -> DataFrame:

@@ -76,3 +76,42 @@ def test_candidates_come_from_the_prints_alone(spark):
     other = [(r.fp, r.size, random.Random(r.fp).randbytes(len(r.print))) for r in reps]
     assert likeness.meetings(spark.createDataFrame(reps)).count() == 2
     assert likeness.meetings(spark.createDataFrame(other, "fp long, size long, print binary")).count() == 0
+
+
+def rows_and_links(spark, monkeypatch, copies):
+    """The sets of a group of near copies, the rows dealt to cells of 8 sets a chunk, and the links that come out of them and of near_prints."""
+    texts = planted(random.Random(9), 1, copies, 250, (1, 2))
+    reps = likeness.signatures(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["fp"]).cache()
+    met, plain = [], likeness.in_arrow
+
+    def counted(df, run, schema):
+        out = plain(df, run, schema)
+        if schema.startswith("a bigint"):
+            met.append((df.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(likeness, "in_arrow", counted)
+    links = [tuple(r) for r in likeness.near_prints(reps, 1, 8).collect()]
+    monkeypatch.undo()
+    left = {r.fp for r in reps.collect()}
+    n, front = len(left), {min(left)}
+    while front:
+        left -= front
+        front = {x for pair in links for x in pair if not front.isdisjoint(pair)} & left
+    assert not left
+    return n, sum(x for x, _ in met), sum(y for _, y in met), len(links)
+
+
+def test_a_group_of_near_copies_has_rows_and_links_in_proportion(spark, monkeypatch):
+    n, rows, links, out = rows_and_links(spark, monkeypatch, 25)
+    more, more_rows, more_links, more_out = rows_and_links(spark, monkeypatch, 100)
+    assert more_rows / more < 1.5 * rows / n
+    assert more_links <= 2 * likeness.FIRST * more and more_out <= 2 * more
+
+
+def test_large_groups_in_a_block_meet_others(spark):
+    # With small chunks groups have chunks of their own in a block; families are those of whole blocks.
+    texts = planted(random.Random(4), 2, 40, 200, (1, 3)) + planted(random.Random(5), 5, 2, 120, (0, 12))
+    reps = likeness.signatures(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["fp"]).cache()
+    want = likeness.meetings(reps, 1, 10_000).collect()
+    assert sorted(likeness.meetings(reps, 1, 4).collect()) == sorted(want)
