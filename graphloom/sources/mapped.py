@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,14 +145,15 @@ class MappedSource:
             df = df.filter(c)
         return build(df, vals, vals.keys())
 
-    def _rows(self, t: TableMap) -> DataFrame:
-        """All triples of a table as terms: one scan, then its cells one under the other."""
-        df = self.frame(t.name)
+    def _rows(self, t: TableMap, df: DataFrame | None = None) -> DataFrame:
+        """All triples of a table as terms: one scan, then its cells one under the other. df: rows of the table with their subjects' keys."""
+        subject = self.subject(t) if df is None else Val("iri", F.col("__subject"), t.prefix)
+        df = self.frame(t.name) if df is None else df
         cells = [F.struct(F.lit(BASE + p).alias("p"), to_term(v).alias("o")) for c, p in t.predicates.items() if (v := self.cell(t, c)) is not None]
         if t.subject is None:
             cells.append(F.struct(F.lit(RDF_TYPE).alias("p"), term_column(0, F.lit(BASE + t.name)).alias("o")))
         kind = f"array<struct<p:string,o:{TERM_DDL}>>"
-        laid = df.select(to_term(self.subject(t)).alias("s"), F.explode(F.array(*cells).cast(kind)).alias("c"))
+        laid = df.select(to_term(subject).alias("s"), F.explode(F.array(*cells).cast(kind)).alias("c"))
         return laid.select("s", F.col("c.p").alias("p"), F.col("c.o").alias("o"), F.lit(GRAPHS + t.name).alias("g")).filter("o is not null")
 
     def _open(self, t: Triple, active: Active) -> Rel:
@@ -191,12 +193,25 @@ class MappedSource:
         return Rel(rel.df.distinct(), rel.vars, rel.bound)
 
     def quads(self) -> DataFrame:
-        """Everything as quads in the default graph."""
-        out = None
+        """Everything as quads in the default graph, each once.
+
+        A table with one row for each subject has no triple twice, which its keys tell; of other tables only the rows that share a
+        subject are merged. So the terms themselves, many times larger than the rows, aren't compared.
+        """
+        keyed = {t.name: self.frame(t.name).withColumn("__subject", self.subject(t).col) for t in self.tables.values()}
+        shared = {n: df.groupBy("__subject").count().filter("count > 1").select(F.col("__subject").alias("__shared")) for n, df in keyed.items()}
+        found = reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("name")) for n, df in shared.items()))
+        merge = {r[0] for r in found.distinct().collect()}
+        out = []
         for t in self.tables.values():
-            df = self._rows(t).select(F.lit(None).cast(TERM_DDL).alias("graph"), F.col("s").alias("subject"), term_column(0, F.col("p")).alias("predicate"), F.col("o").alias("object"))
-            out = df if out is None else out.unionByName(df)
-        return out
+            if t.name not in merge:
+                out.append(self._rows(t))
+                continue
+            df, other = keyed[t.name], shared[t.name]
+            on = F.col("__subject").eqNullSafe(F.col("__shared"))
+            out += [self._rows(t, df.join(other, on, "left_anti")), self._rows(t, df.join(other, on, "left_semi")).distinct()]
+        rows = reduce(DataFrame.unionByName, out)
+        return rows.select(F.lit(None).cast(TERM_DDL).alias("graph"), F.col("s").alias("subject"), term_column(0, F.col("p")).alias("predicate"), F.col("o").alias("object"))
 
 
 def warehouse(spark: SparkSession, folder: str) -> MappedSource:

@@ -3,28 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from hashlib import sha256
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.values import Val, of_term, same
 from graphloom.operators.relation import Rel, build
 from graphloom.plans.algebra import Triple, Var
 from graphloom.sources.base import Active
-from graphloom.terms import TERM_DDL, Term
+from graphloom.terms import IRI, TERM_DDL, Term
+
+
+def folder_column() -> Column:
+    """The folder of a quad's predicate in written stores."""
+    return F.sha2("predicate.lex", 256).substr(1, 8)
+
+
+def folder_of(predicate: str) -> str:
+    return sha256(predicate.encode()).hexdigest()[:8]
 
 
 class QuadTableSource:
-    """`union_default`: the default graph is all graphs merged."""
+    """`union_default`: the default graph is all graphs merged. `files`: the same quads as written, with a column `p` of their folders."""
 
-    def __init__(self, quads: DataFrame, union_default: bool = False):
-        self.quads, self.union_default = quads, union_default
+    def __init__(self, quads: DataFrame, union_default: bool = False, files: DataFrame | None = None):
+        self.quads, self.union_default, self.files = quads, union_default, files
 
     def groups(self, triples: Iterable[Triple]) -> list[list[Triple]]:
         return [[t] for t in triples]
 
-    def _active(self, active: Active) -> DataFrame:
+    def _active(self, active: Active, predicate=None) -> DataFrame:
         q = self.quads
+        if self.files is not None and isinstance(predicate, IRI):  # one folder, of which Spark knows the size
+            q = self.files.filter(F.col("p") == folder_of(predicate.value)).drop("p")
         if active.named:
             q = q.filter(F.col("graph").isNotNull())
             return q.filter(F.col("graph.lex").isin(list(active.graphs))) if active.graphs is not None else q
@@ -40,7 +52,7 @@ class QuadTableSource:
 
     def scan(self, triples: list[Triple], active: Active, wanted: set[str]) -> Rel:
         (t,) = triples
-        q, vals = self._active(active), {}
+        q, vals = self._active(active, t.p), {}
         nodes = [(active.var and Var(active.var), "graph"), (t.s, "subject"), (t.p, "predicate"), (t.o, "object")]
         for node, column in nodes:
             if not node:

@@ -10,11 +10,12 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.engine import Engine, Explanation
 from graphloom.operators.written import write
 from graphloom.sources import rdfio
-from graphloom.sources.quads import QuadTableSource
+from graphloom.sources.quads import QuadTableSource, folder_column
 from graphloom.sources.rdfio import Quad
 from graphloom.streaming import results
 from graphloom.terms import QUADS, IRI, Term, constant, term_of
@@ -34,11 +35,14 @@ class Store:
 
     #: Single changes kept aside, and changes of whole frames planned on top of each other, before all is written anew.
     ASIDE, DEPTH = 10_000, 16
+    #: Files that a task writes at once (what goes to more is sorted first), and bytes of a table that it reads and of a file's row groups.
+    WRITERS, SPLIT = 64, 16 << 20
 
-    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, union_default: bool = False, base: str | None = None):
+    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, union_default: bool = False, base: str | None = None, unique: bool = False):
+        """unique: no two of `quads` are equal."""
         self.spark, self.union_default, self.base = spark, union_default, base
         self._depth = 0
-        self.quads = spark.createDataFrame([], QUADS) if quads is None else quads.select(*COLUMNS).dropDuplicates()
+        self.quads = spark.createDataFrame([], QUADS) if quads is None else quads.select(*COLUMNS) if unique else quads.select(*COLUMNS).dropDuplicates()
         self.names: set[str] = set()
         self.custom: dict = {}
 
@@ -60,6 +64,7 @@ class Store:
             df, _ = write(df)
             self._depth = 0
         self._held, self._seen, self._added, self._gone = df, None, {}, {}
+        self._files: DataFrame | None = None  # what is held, as read from write_parquet's folders
 
     def _changed(self) -> None:
         self._seen = None
@@ -70,7 +75,7 @@ class Store:
     # Queries
     @property
     def engine(self) -> Engine:
-        e = Engine(self.spark, QuadTableSource(self.quads, self.union_default), self.base)
+        e = Engine(self.spark, QuadTableSource(self.quads, self.union_default, None if self._added or self._gone else self._files), self.base)
         e.custom = self.custom
         return e
 
@@ -212,13 +217,32 @@ class Store:
         """N-Quads or N-Triples files, in parallel."""
         rdfio.line_frame(self.quads, graphs).write.text(path)
 
-    def write_parquet(self, path: str) -> None:
-        """Quads by predicate, sorted by subject: scans of one predicate read its files only."""
-        named = self.quads.withColumn("p", F.sha2("predicate.lex", 256).substr(1, 8))
-        named.repartition("p").sortWithinPartitions("p", "subject").write.partitionBy("p").parquet(path)
+    def write_parquet(self, path: str, gather: bool = True) -> None:
+        """Quads by predicate: scans of one predicate read its files only.
+
+        gather: the quads of a predicate are brought together and sorted by subject; adaptive execution splits those of many quads.
+        Without it each task writes what it reads as it comes, to a file for each of its predicates: nothing is shuffled or sorted,
+        which suits quads read from tables, where a task meets few predicates.
+        """
+        named = self.quads.withColumn("p", folder_column())
+        if gather:
+            named.hint("rebalance", F.col("p")).sortWithinPartitions("p", "subject").write.partitionBy("p").parquet(path)
+            return
+        conf, split = self.spark.conf, self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        own = {"spark.sql.maxConcurrentOutputFileWriters": str(self.WRITERS), "spark.sql.files.maxPartitionBytes": str(min(split, self.SPLIT))}
+        held = {k: conf.get(k) for k in own}
+        try:
+            for k, v in own.items():
+                conf.set(k, v)
+            named.write.partitionBy("p").option("parquet.block.size", self.SPLIT).parquet(path)
+        finally:
+            for k, v in held.items():
+                conf.set(k, v)
 
     @classmethod
     def read_parquet(cls, spark: SparkSession, path: str, **options) -> Store:
         store = cls(spark, **options)
-        store.quads = spark.read.parquet(path).select(*COLUMNS)  # written from a set
+        files = spark.read.schema(StructType([*QUADS, StructField("p", StringType())])).parquet(path)
+        store.quads = files.select(*COLUMNS)  # written from a set
+        store._files = files
         return store
