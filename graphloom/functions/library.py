@@ -41,20 +41,39 @@ def call(ctx: Context, name: str, args: list[Val]) -> Val:
         return ctx.custom[name](*args)
     if name not in TABLE:
         return NULL  # an unknown function is an error in every row
-    out = _named_once(TABLE[name], ctx, args) if name not in ("REGEX", "REPLACE") and any(a.made for a in args) else TABLE[name](ctx, *args)
+    once = name not in ("REGEX", "REPLACE") and any(a.made for a in args) or name in ARITHMETIC and any(a.type == "term" and a.const is None for a in args)
+    out = _named_once(name, ctx, args) if once else TABLE[name](ctx, *args)
     return replace(out, made=True) if out.type == "term" else out
 
 
-def _named_once(f: Callable, ctx: Context, args: list[Val]) -> Val:
-    """f(ctx, *args) with computed terms bound to a name once. Functions name their arguments dozens of times, so expressions
+#: Functions that take terms as numbers: these are parsed once, however often the function names them. Comparisons of stored terms
+#: stay plain, so that they are compiled and reach scans.
+ARITHMETIC = {"+", "-", "*", "/", "u+", "u-", "ABS", "CEIL", "FLOOR", "ROUND"}
+NUMBERS = ARITHMETIC | {"=", "!=", "<", ">", "<=", ">="}
+
+
+def _named_once(name: str, ctx: Context, args: list[Val]) -> Val:
+    """The function of args with computed terms bound to a name once. Functions name their arguments dozens of times, so expressions
     of expressions would grow exponentially where they are put in place of their names."""
-    at, told = [k for k, a in enumerate(args) if a.made], []
+    numbers = name in NUMBERS
+    at, told = [k for k, a in enumerate(args) if a.made or numbers and a.type == "term" and a.const is None], []
 
     def body(x: Column) -> Column:
-        told.append(f(ctx, *(Val("term", x[f"a{k}"]) if k in at else a for k, a in enumerate(args))))
+        bound = [Val("term", x[f"a{k}"], num=V.Num(*(x[f"{c}{k}"] for c in "rwdf")) if numbers else None) if k in at else a for k, a in enumerate(args)]
+        told.append(TABLE[name](ctx, *bound))
         return told[-1].col
 
-    col = F.get(F.transform(F.array(F.struct(*(args[k].col.alias(f"a{k}") for k in at))), body), F.lit(0))
+    def ranked(x: Column) -> Column:
+        return F.struct(*(x[f"a{k}"].alias(f"a{k}") for k in at), *(V.rank_of(x[f"a{k}"]).alias(f"r{k}") for k in at))
+
+    def parsed(x: Column) -> Column:
+        nums = {k: V.number_of_rank(x[f"a{k}"], x[f"r{k}"]) for k in at}
+        return F.struct(*(x[f"a{k}"].alias(f"a{k}") for k in at), *(c.alias(f"{n}{k}") for k, m in nums.items() for n, c in zip("rwdf", (m.rank, m.whole, m.dec, m.real))))
+
+    held = F.array(F.struct(*(args[k].col.alias(f"a{k}") for k in at)))
+    if numbers:
+        held = F.transform(F.transform(held, ranked), parsed)
+    col = F.get(F.transform(held, body), F.lit(0))
     return told[-1] if told[-1].type == "null" else Val(told[-1].type, col, told[-1].extra)
 
 

@@ -26,6 +26,7 @@ class Val:
     """type: a key of NATIVE, or null. extra: for iri the prefix before a native key (None: `col` is the whole IRI).
 
     made: a term that is computed, not stored. Its expression is long, and the optimiser may put it wherever `col` is named.
+    num: the term as a number, where that has been computed already.
     """
 
     type: str
@@ -33,6 +34,7 @@ class Val:
     extra: str | None = None
     const: Term | None = None
     made: bool = False
+    num: Num | None = None
 
     @property
     def kind(self) -> tuple[str, str | None]:
@@ -42,7 +44,7 @@ class Val:
 class _Null:
     """The value of an unbound variable."""
 
-    type, extra, const, made, kind = "null", None, None, False, ("null", None)
+    type, extra, const, made, num, kind = "null", None, None, False, None, ("null", None)
 
     @property
     def col(self) -> Column:
@@ -215,24 +217,38 @@ def number(v: Val) -> Num | None:
         return Num(rank, v.col.try_cast("bigint"), v.col.cast(DECIMAL), v.col.cast("double"))
     if v.type != "term":
         return None
-    dt, lex = v.col["dt"], F.trim(v.col["lex"])
+    return v.num or number_of_rank(v.col, rank_of(v.col))
+
+
+def rank_of(term: Column) -> Column:
+    dt, lex = term["dt"], F.trim(term["lex"])
     ints = [XSD + x for x in INTEGERS]
-    rank = (
-        F.when(v.col["kind"] != 2, None)
+    return (
+        F.when(term["kind"] != 2, None)
         .when((dt == XSD + "int") & lex.rlike(_NUMBER["integer"]) & lex.try_cast("int").isNotNull(), 1)
         .when(dt.isin(ints) & lex.rlike(_NUMBER["integer"]) & lex.try_cast("bigint").isNotNull(), 2)
         .when((dt == XSD + "decimal") & lex.rlike(_NUMBER["decimal"]) & lex.try_cast(DECIMAL).isNotNull(), 3)
         .when((dt == XSD + "float") & lex.rlike(_NUMBER["double"]), 4)
         .when((dt == XSD + "double") & lex.rlike(_NUMBER["double"]), 5)
     )
+
+
+def number_of_rank(term: Column, rank: Column) -> Num:
+    lex = F.trim(term["lex"])
     return Num(rank, F.when(rank <= 2, lex.try_cast("bigint")), F.when(rank <= 3, lex.try_cast(DECIMAL)), F.when(rank == 4, real_of(lex).cast("float").cast("double")).when(rank.isNotNull(), real_of(lex)))
 
 
 def number_term(rank: Column, whole: Column, dec: Column, real: Column) -> Val:
-    """A number of dynamic type as a term."""
-    lex = F.when(rank <= 2, whole.cast("string")).when(rank == 3, decimal_text(dec)).when(rank == 4, double_text(real.cast("float"))).otherwise(double_text(real))
-    dt = F.when(rank == 1, XSD + "int").when(rank == 2, XSD + "integer").when(rank == 3, XSD + "decimal").when(rank == 4, XSD + "float").otherwise(XSD + "double")
-    return Val("term", term_column(2, F.when(rank.isNotNull(), lex), dt))
+    """A number of dynamic type as a term. Its parts are computed once, though the text names them many times."""
+
+    def term(n: Column) -> Column:
+        r = n["r"]
+        lex = F.when(r <= 2, n["w"].cast("string")).when(r == 3, decimal_text(n["d"])).when(r == 4, double_text(n["f"].cast("float"))).otherwise(double_text(n["f"]))
+        dt = F.when(r == 1, XSD + "int").when(r == 2, XSD + "integer").when(r == 3, XSD + "decimal").when(r == 4, XSD + "float").otherwise(XSD + "double")
+        return term_column(2, F.when(r.isNotNull(), lex), dt)
+
+    parts = F.struct(rank.alias("r"), whole.alias("w"), dec.alias("d"), real.alias("f"))
+    return Val("term", F.get(F.transform(F.array(parts), term), F.lit(0)))
 
 
 @dataclass(frozen=True)

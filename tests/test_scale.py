@@ -2,9 +2,13 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
+from graphloom.functions import library
+from graphloom.functions.values import Val, of_term
 from graphloom.sources.mapped import MappedSource, TableMap
 from graphloom.store import Store
-from graphloom.terms import IRI
+from graphloom.terms import IRI, TERM_DDL, XSD, Literal
 
 
 def people(spark, rows):
@@ -52,3 +56,12 @@ def test_a_constant_predicate_reads_its_folder(spark, tmp_path):
     assert store.query("SELECT ?s ?o WHERE { ?s <urn:t:a> ?o }").count() == 51
     store.clear_graph()
     assert store.query("SELECT ?s ?o WHERE { ?s <urn:t:a> ?o }").count() == 0
+
+
+def test_arithmetic_reads_a_number_once(spark):
+    """A row's term is parsed as a number once for an operation, not wherever the result's text names it."""
+    df = spark.createDataFrame([((2, x, XSD + t, None),) for x, t in (("1.5", "double"), ("7", "integer"), ("0.10", "decimal"), ("x", "integer"))], f"b {TERM_DDL}")
+    for name, args in (("*", [of_term(Literal("40", XSD + "integer"))]), ("u-", []), ("ROUND", [])):
+        out = df.select(library.call(library.Context(), name, [Val("term", F.col("b")), *args]).col["lex"].alias("x"))
+        assert out._jdf.queryExecution().analyzed().toString().count("RLIKE") <= 8, name
+        assert [r.x for r in out.collect()] == {"*": ["60", "280", "4", None], "u-": ["-1.5", "-7", "-0.1", None], "ROUND": ["2", "7", "0", None]}[name]
