@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.values import Val, lexical, of_term, to_term
+from graphloom.functions.values import NULL, Val, lexical, of_term, to_term
 from graphloom.operators.compiler import Compiler
-from graphloom.operators.relation import Rel
+from graphloom.operators.relation import Rel, semi
 from graphloom.plans import algebra as A
 from graphloom.plans.parser import parse
 from graphloom.sources.base import QuadSource
@@ -113,20 +114,18 @@ class Engine:
 
     def _describe(self, compiler: Compiler, q: A.Query) -> DataFrame:
         """The types of the described resources."""
-        found = None
+        active, parts = compiler.default(), []
         rel = compiler.run() if any(isinstance(n, A.Var) for n in q.describe) else None
         for n in q.describe:
-            if isinstance(n, A.Var):
-                one = rel.keep([n.name]) if n.name in rel.vars else None
-            else:
-                one = compiler.values(("?d",), ((n,),))
-            if one is None:
-                continue
-            (v,) = one.vars.values()
-            terms = one.df.select(to_term(v).alias("d"))
-            found = terms if found is None else found.unionByName(terms)
-        types = self.source.scan([A.Triple(A.Var("?s"), IRI(RDF_TYPE), A.Var("?o"))], compiler.default(), {"?s", "?o"})
-        laid = types.df.select(to_term(types.vars["?s"]).alias("subject"), to_term(of_term(IRI(RDF_TYPE))).alias("predicate"), to_term(types.vars["?o"]).alias("object"))
-        if found is None:
-            return laid.limit(0)
-        return laid.join(found, laid.subject == found.d, "left_semi").distinct()
+            if not isinstance(n, A.Var):
+                types = self.source.scan([A.Triple(n, IRI(RDF_TYPE), A.Var("?o"))], active, {"?o"})
+                parts.append((types.df, of_term(n), types.vars["?o"]))
+            elif n.name in rel.vars:
+                (v,) = (one := rel.keep([n.name])).vars.values()
+                types = self.source.types(v, active)
+                types = semi(types, Rel(one.df.filter(v.col.isNotNull()), {"?s": v}, frozenset({"?s"})))
+                parts.append((types.df, types.vars["?s"], types.vars["?o"]))
+        if not parts:
+            parts.append((self.spark.range(0), NULL, NULL))
+        laid = [df.select(to_term(s).alias("subject"), to_term(of_term(IRI(RDF_TYPE))).alias("predicate"), to_term(o).alias("object")) for df, s, o in parts]
+        return reduce(DataFrame.unionByName, laid).distinct()

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from typing import Protocol
 
+from graphloom.functions.values import Val
 from graphloom.operators.relation import Rel
 from graphloom.plans.algebra import Triple
 
@@ -34,3 +35,6 @@ class QuadSource(Protocol):
 
     def nodes(self, active: Active) -> Rel:
         """Distinct subjects and objects as ?node, with the GRAPH variable if there is one."""
+
+    def types(self, subject: Val, active: Active) -> Rel:
+        """Subjects ?s and their types ?o; those that can't be equal to `subject` may be left out."""

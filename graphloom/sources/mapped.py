@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from graphloom.functions.values import Val, of_term, same, to_term
 from graphloom.operators.relation import Rel, build, union
 from graphloom.plans.algebra import Triple, Var
 from graphloom.sources.base import Active
-from graphloom.terms import IRI, RDF_LANG, RDF_TYPE, TERM_DDL, term_column
+from graphloom.terms import IRI, RDF_LANG, RDF_TYPE, TERM_DDL, Literal, Term, term_column
 
 BASE, GRAPHS = "urn:t:", "urn:g:"
 _TYPES = {T.StringType: "string", T.IntegerType: "integer", T.LongType: "integer", T.ShortType: "integer", T.DoubleType: "double", T.FloatType: "float", T.BooleanType: "boolean", T.TimestampType: "dateTime", T.TimestampNTZType: "dateTime", T.DateType: "date"}
@@ -101,7 +101,7 @@ class MappedSource:
         open_ = isinstance(t.p, Var) or (isinstance(t.p, IRI) and t.p.value == RDF_TYPE and isinstance(t.o, Var))
         if not open_:
             return self._nothing(triples, active)
-        return self._open(t, active)
+        return self._open(t, active, wanted)
 
     def _nothing(self, triples: list[Triple], active: Active) -> Rel:
         names = dict.fromkeys(n.name for t in triples for n in (t.s, t.p, t.o) if isinstance(n, Var))
@@ -156,31 +156,70 @@ class MappedSource:
         laid = df.select(to_term(subject).alias("s"), F.explode(F.array(*cells).cast(kind)).alias("c"))
         return laid.select("s", F.col("c.p").alias("p"), F.col("c.o").alias("o"), F.lit(GRAPHS + t.name).alias("g")).filter("o is not null")
 
-    def _open(self, t: Triple, active: Active) -> Rel:
-        """A pattern with a variable predicate or class: over every table it may touch."""
+    def _may_meet(self, v: Val, term: Term) -> bool:
+        """Whether a cell can hold a term, as far as types tell."""
+        if v.const is not None:
+            return v.const == term
+        if v.type == "term":  # tagged text
+            return isinstance(term, Literal) and term.lang is not None
+        if v.type == "iri":
+            return isinstance(term, IRI) and term.value.startswith(v.extra or "")
+        return isinstance(term, Literal) and of_term(term).type in (v.type, "term")
+
+    def _open(self, t: Triple, active: Active, wanted: set[str], tables: list[TableMap] | None = None) -> Rel:
+        """A pattern with a variable predicate or class: over the tables and columns that it may touch.
+
+        Constants are compared with native cells first, which scans can do, and a subject that nobody asks for isn't computed.
+        """
         rels = []
-        for table in self.tables.values():
-            if not self._graph(table.name, active):
+        for table in self.tables.values() if tables is None else tables:
+            if not self._graph(table.name, active) or isinstance(t.s, IRI) and not t.s.value.startswith(table.prefix):
                 continue
-            if isinstance(t.s, IRI) and not t.s.value.startswith(table.prefix):
-                continue
-            rows = self._rows(table)
+            cells = [(BASE + p, v) for c, p in table.predicates.items() if (v := self.cell(table, c)) is not None]
+            if table.subject is None:
+                cells.append((RDF_TYPE, Val("iri", F.lit(BASE + table.name), const=IRI(BASE + table.name))))
             if isinstance(t.p, IRI):
-                rows = rows.filter(F.col("p") == t.p.value)
-            found: dict[str, Val] = {}
-            values = [(t.s, Val("term", F.col("s"))), (t.p, Val("iri", F.col("p"))), (t.o, Val("term", F.col("o")))]
-            if active.var:
-                values.append((Var(active.var), Val("iri", F.col("g"))))
-            for node, v in values:
-                if not isinstance(node, Var):
-                    rows = rows.filter(same(v, of_term(node)))
-                elif node.name in found:
-                    rows = rows.filter(same(found[node.name], v))
-                else:
-                    found[node.name] = v
-            rels.append(build(rows, found, found.keys()))
+                cells = [(p, v) for p, v in cells if p == t.p.value]
+            if not isinstance(t.o, Var):
+                cells = [(p, v) for p, v in cells if self._may_meet(v, t.o)]
+            if cells:
+                rels.append(self._cells(table, cells, t, active, wanted))
         return union(rels) if rels else self._nothing([t], active)
 
+    def _cells(self, table: TableMap, cells: list[tuple[str, Val]], t: Triple, active: Active, wanted: set[str]) -> Rel:
+        df, found = self.frame(table.name), {}
+        named = not isinstance(t.s, Var) or t.s.name in wanted or t.s in (t.p, t.o) or t.s.name == active.var
+        subject = self.subject(table) if named else None
+        if named and not table.unique:  # number equal keys over all rows, before any is dropped
+            df, subject = df.withColumn("__subject", subject.col), Val("iri", F.col("__subject"), table.prefix)
+        if isinstance(t.s, IRI):
+            df = df.filter(same(subject, of_term(t.s)))
+        if not isinstance(t.o, Var) and all(v.type in ("iri", "string", "integer") for _, v in cells):
+            df = df.filter(reduce(Column.__or__, (same(v, of_term(t.o)) for _, v in cells)))
+        if len(cells) == 1:
+            ((name, o),) = cells
+            df, p = df.filter(o.col.isNotNull()), Val("iri", F.lit(name))
+        else:
+            laid = F.array(*(F.struct(F.lit(name).alias("p"), to_term(v).alias("o")) for name, v in cells)).cast(f"array<struct<p:string,o:{TERM_DDL}>>")
+            df = df.select(*([subject.col.alias("s")] if named else []), F.explode(laid).alias("c")).filter("c.o is not null")
+            subject, p, o = named and Val("iri", F.col("s"), table.prefix), Val("iri", F.col("c.p")), Val("term", F.col("c.o"))
+        values = [(t.s, subject)] if named else []
+        values += [(t.p, p), (t.o, o)]
+        if active.var:
+            values.append((Var(active.var), Val("iri", F.lit(GRAPHS + table.name))))
+        for node, v in values:
+            if not isinstance(node, Var):
+                df = df.filter(to_term(v) == to_term(of_term(node)))
+            elif node.name in found:
+                df = df.filter(same(found[node.name], v))
+            else:
+                found[node.name] = v
+        return build(df, found, found.keys())
+
+    def types(self, subject: Val, active: Active) -> Rel:
+        near = [t for t in self.tables.values() if subject.type in ("iri", "term") and (subject.extra is None or t.prefix.startswith(subject.extra) or subject.extra.startswith(t.prefix))]
+        return self._open(Triple(Var("?s"), IRI(RDF_TYPE), Var("?o")), active, {"?s", "?o"}, near)
+
     def nodes(self, active: Active) -> Rel:
         rels = [self._rows(t).select(F.explode(F.array("s", "o")).alias("node"), "g") for t in self.tables.values() if self._graph(t.name, active)]
         if not rels:

@@ -12,7 +12,7 @@ from graphloom.functions.values import Val, of_term, same
 from graphloom.operators.relation import Rel, build
 from graphloom.plans.algebra import Triple, Var
 from graphloom.sources.base import Active
-from graphloom.terms import IRI, TERM_DDL, Term
+from graphloom.terms import IRI, RDF_TYPE, TERM_DDL, Term
 
 
 def folder_column() -> Column:
@@ -76,6 +76,9 @@ class QuadTableSource:
         rel = build(df, vals, vals.keys())
         return Rel(rel.df.distinct(), rel.vars, rel.bound)
 
+    def types(self, subject: Val, active: Active) -> Rel:
+        return self.scan([Triple(Var("?s"), IRI(RDF_TYPE), Var("?o"))], active, {"?s", "?o"})
+
     # Quad patterns of the API: blank nodes are constants here
     def matching(self, s: Term | None = None, p: Term | None = None, o: Term | None = None, g: Term | None | str = "any") -> DataFrame:
         q = self.quads
