@@ -3,6 +3,7 @@
 import glob
 import re
 
+import pytest
 from oracle import FOLDER
 from pyspark.sql import functions as F
 
@@ -107,3 +108,14 @@ def test_classes_are_counted_without_cells_or_subjects(spark):
     df = catalog.queries()["class_variable"](spark, FOLDER)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert scans(df) == {"nation", "region", "supplier"} and "Generate" not in plan and "Window" not in plan
+
+
+#: Queries over the store of tables: each scan of a constant predicate reads one folder, written without comparing or sorting terms.
+BY_FOLDER = ["quads_filter"]
+
+
+@pytest.mark.parametrize("name", BY_FOLDER)
+def test_quad_queries_read_folders(spark, name):
+    text = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet.*", text)
+    assert scans and all("PartitionFilters: [isnotnull(p#" in s for s in scans)
