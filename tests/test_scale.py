@@ -111,7 +111,7 @@ def test_classes_are_counted_without_cells_or_subjects(spark):
 
 
 #: Queries over the store of tables: each scan of a constant predicate reads one folder, written without comparing or sorting terms.
-BY_FOLDER = ["quads_filter", "quads_minus", "quads_blank_node", "quads_join"]
+BY_FOLDER = ["quads_filter", "quads_minus", "quads_blank_node", "quads_join", "quads_bind"]
 
 
 @pytest.mark.parametrize("name", BY_FOLDER)
